@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, urlfilter
+from . import packing, simhash, tokencount, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": packing.op3_packing,
+    "op5_token_counts": tokencount.op5_token_counts,
     "op6_simhash": simhash.op6_simhash,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
