@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, tokencount, urlfilter
+from . import decontaminate, packing, simhash, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
+    "op4_warc": warc.op4_warc,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_simhash": simhash.op6_simhash,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": warc.OP4_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
 }
