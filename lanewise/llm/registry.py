@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, substring, tokencount, urlfilter, warc
+from . import decontaminate, packing, simhash, substring, sufdedup, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_simhash": simhash.op6_simhash,
+    "op7_suffix_array": sufdedup.op7_suffix_array,
     "op8_substring": substring.op8_substring,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filters": urlfilter.op10_url_filters,
