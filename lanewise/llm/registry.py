@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embdedup, packing, simhash, substring, sufdedup, tokencount, urlfilter, warc
+from . import decontaminate, embdedup, langid, packing, simhash, substring, sufdedup, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.op1_language_id,
     "op2_embeddings": embdedup.op2_embeddings,
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
