@@ -1,4 +1,10 @@
-"""Queries over the driver's tables, one per operator family."""
+"""Queries over the driver's tables, one per operator family, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import events_plans, keyed_plans, match_plans, review_plans
+
+_MODULES = (keyed_plans, match_plans, events_plans, review_plans)
+
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
