@@ -26,7 +26,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
 
 
-_W = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("""
@@ -41,7 +42,7 @@ def neighbor_context_concat(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, event_type, CASE lead(event_type) OVER w WHEN 'purchase' THEN 'before_purchase' WHEN 'click' THEN 'before_step' WHEN 'view' THEN 'before_step' WHEN 'signup' THEN 'before_step' END AS label
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def lead_dependent_label(spark: SparkSession, d: str) -> DataFrame:
-    following = F.lead("event_type").over(_W)
+    following = F.lead("event_type").over(_order())
     label = F.when(following == "purchase", "before_purchase").when(following.isin("click", "view", "signup"), "before_step")
     return _events(spark, d).select("event_id", "event_type", label.alias("label"))
 
@@ -50,7 +51,7 @@ def lead_dependent_label(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, event_type, coalesce(event_type = lag(event_type) OVER w, false) AND (lag(event_type, 2) OVER w IS NULL OR event_type <> lag(event_type, 2) OVER w) AS second_of_pair
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def lag_pair_rule(spark: SparkSession, d: str) -> DataFrame:
-    one, two = F.lag("event_type", 1).over(_W), F.lag("event_type", 2).over(_W)
+    one, two = F.lag("event_type", 1).over(_order()), F.lag("event_type", 2).over(_order())
     return _events(spark, d).select("event_id", "event_type", (F.coalesce(F.col("event_type") == one, F.lit(False)) & (two.isNull() | (F.col("event_type") != two))).alias("second_of_pair"))
 
 
@@ -73,7 +74,7 @@ def last_event_per_key(spark: SparkSession, d: str) -> DataFrame:
 WITH m AS (SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events)
 SELECT event_id, before, after FROM m WHERE before IS NOT NULL AND (before, after) NOT IN (VALUES ('view','click'), ('click','purchase'), ('signup','view'), ('view','view'), ('click','view'), ('purchase','view'), ('error','error'))""")
 def transition_violations(spark: SparkSession, d: str) -> DataFrame:
-    moves = _events(spark, d).select("event_id", F.lag("event_type").over(_W).alias("before"), F.col("event_type").alias("after"))
+    moves = _events(spark, d).select("event_id", F.lag("event_type").over(_order()).alias("before"), F.col("event_type").alias("after"))
     allowed = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("signup", "view"), ("view", "view"), ("click", "view"), ("purchase", "view"), ("error", "error")], "before string, after string")
     return reconcile.transition_violations(moves, allowed, "before", "after").select("event_id", "before", "after")
 
