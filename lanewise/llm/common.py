@@ -7,6 +7,7 @@ that grow with the input to the driver.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,7 +43,7 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -54,6 +55,7 @@ class Workspace:
 
     def release(self) -> None:
         """Let the context cleaner remove shuffle files of finished jobs now."""
+        gc.collect()  # first the handles on this side
         self.spark.sparkContext._jvm.System.gc()
 
 
