@@ -194,7 +194,7 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
     """At most ``most`` labelled documents that aren't held out, by hashed id."""
-    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
+    labelled = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = labelled.join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))
     rows = chosen.select(F.xxhash64("doc_id").alias("h"), "x.text", "x.lang").collect()  # at most `most`, each of bounded size
@@ -202,24 +202,22 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
 
 
 def predictions(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` with ``lang_pred, score, rejected``."""
+    """Every row of ``docs`` as ``row``, a struct of ``columns``, with ``lang_pred, score, rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    added = ["lang_pred", "score", "rejected"]
+    rows = docs.select(F.struct(*columns).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
             found = [fitted.predict(text.as_py()) for text in batch.column("text")]
             lang, score, no = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], [*columns, *added])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
-    needed = columns if "text" in columns else [*columns, "text"]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "lang_pred string", "score double", "rejected boolean"])
-    return docs.select(*needed).mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, lang_pred string, score double, rejected boolean")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predictions(docs, train(sample(docs)), ["doc_id"])
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id.cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), "lang_pred", "score", "rejected")

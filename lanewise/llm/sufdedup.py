@@ -111,11 +111,24 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
                 yield key, np.zeros(len(key), np.uint64), np.full(len(key), doc_id, np.int64), (pos + offset).astype(np.int32), key
 
 
-#: core, core2, whole, whole2, doc, anchor position, piece number, bytes before and after the core, and those bytes.
-_PIECE = ["u8", "u8", "u8", "u8", "i8", "i4", "u1", "u1", "u1", f"V{SIDE}", f"V{SIDE}", "u1"]
+#: What is sent of a piece: core, core2, doc, anchor position, piece number, how many
+#: bytes lie before and after the core, those bytes, and whether it only marks its core.
+_SENT = ["u8", "u8", "i8", "i4", "u1", "u1", "u1", f"V{SIDE}", f"V{SIDE}", "u1"]
+#: In memory the hash of the whole piece (128 bits) follows the core's.
 Pieces = list[np.ndarray]
 
 
+def with_whole(sent: list[np.ndarray]) -> Pieces:
+    """Adds the hash of the whole piece, made from the core's and the bytes around it."""
+    pre, post = (np.ascontiguousarray(sent[k]).view(np.uint8).reshape(-1, SIDE).astype(np.uint64) + np.uint64(1) for k in (7, 8))
+    sizes = sent[5].astype(np.uint64) * np.uint64(256) + sent[6] + np.uint64(977)
+    whole = []
+    for k in (0, 1):
+        sides = (pre * _WEIGHTS[k][:SIDE]).sum(axis=1, dtype=np.uint64) + (post * _WEIGHTS[k][SIDE:]).sum(axis=1, dtype=np.uint64)
+        whole.append(mix(mix(sides) ^ sent[k]) + mix(sizes))
+    return [*sent[:2], *whole, *sent[2:]]
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
     """The pieces around each document's repeated anchors."""
     for batch in batches:
@@ -141,24 +154,23 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
                 core, end = p - q * WIDTH, p - q * WIDTH - SIDE + LENGTH
                 before, after = np.minimum(SIDE, core), np.minimum(SIDE, len(raw) - end)
                 sums2 = prefix(_BYTES[1][raw], 1)
-                tag = mix((q * 256 + before).astype(np.uint64) + np.uint64(977))
                 wide = np.concatenate([np.zeros(SIDE, np.uint8), raw, np.zeros(SIDE, np.uint8)])
                 side = np.arange(SIDE)
                 pre, post = wide[core[:, None] + side], wide[end[:, None] + SIDE + side]
-                yield [
-                    span_hash(sums, core, end, 0) + mix(q.astype(np.uint64)),
-                    span_hash(sums2, core, end, 1),
-                    span_hash(sums, core - before, end + after, 0) ^ tag,
-                    span_hash(sums2, core - before, end + after, 1),
-                    np.full(len(p), doc_id, np.int64),
-                    (p + offset).astype(np.int32),
-                    q.astype(np.uint8),
-                    before.astype(np.uint8),
-                    after.astype(np.uint8),
-                    np.ascontiguousarray(pre).view(f"V{SIDE}").ravel(),
-                    np.ascontiguousarray(post).view(f"V{SIDE}").ravel(),
-                    np.zeros(len(p), np.uint8),
-                ]
+                yield with_whole(
+                    [
+                        span_hash(sums, core, end, 0) + mix(q.astype(np.uint64)),
+                        span_hash(sums2, core, end, 1),
+                        np.full(len(p), doc_id, np.int64),
+                        (p + offset).astype(np.int32),
+                        q.astype(np.uint8),
+                        before.astype(np.uint8),
+                        after.astype(np.uint8),
+                        np.ascontiguousarray(pre).view(f"V{SIDE}").ravel(),
+                        np.ascontiguousarray(post).view(f"V{SIDE}").ravel(),
+                        np.zeros(len(p), np.uint8),
+                    ]
+                )
 
 
 def starts_of(piece: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +209,7 @@ def _places(piece: Pieces, rows: np.ndarray) -> Places:
         for k in (0, 1):
             w = _WEIGHTS[k]
             sides = ((pre[ok][:, SIDE - t :] + np.uint64(1)) * w[:t]).sum(axis=1, dtype=np.uint64) + ((post[ok][:, : SIDE - t] + np.uint64(1)) * w[SIDE : 2 * SIDE - t]).sum(axis=1, dtype=np.uint64)
-            keys.append(mix(mix(sides) ^ (piece[k][rows][ok] + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15))))
+            keys.append(mix(mix(sides) ^ (piece[k][rows][ok] + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
         out.append((*keys, piece[4][rows][ok], (core[ok] - t).astype(np.int32), keys[0]))
     if not out:
         return tuple(np.zeros(0, k) for k in ("u8", "u8", "i8", "i4", "u8"))
@@ -234,17 +246,7 @@ def chunk_rows(piece: Pieces, buckets: int, salt: int, cap: int = CHUNK_CAP) ->
     heads = np.concatenate([[True], number[1:] != number[:-1]])
     piece[11] = (heads & over).astype(np.uint8)
     send = np.flatnonzero((lead & ~over) | (heads & over))
-    return out + [*parcels(piece[0][send], _by_place([c[send] for c in piece]), buckets)]
-
-
-def _by_place(piece: Pieces) -> Pieces:
-    return [*piece[:2], piece[4], piece[5], piece[2], piece[3], *piece[6:]]  # parcels sort by their third and fourth column
-
-
-def _from_parcel(n: int, blob: bytes) -> Pieces:
-    kinds = _by_place(_PIECE)
-    c = unpacked(n, blob, kinds)
-    return [c[0], c[1], c[4], c[5], c[2], c[3], *c[6:]]
+    return out + [*parcels(piece[0][send], [c[send] for c in (*piece[:2], *piece[4:])], buckets)]
 
 
 def array_ranges(piece: Pieces, rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,8 +317,8 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 def _settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for bucket, parts in by_bucket(batches):
         if 0 <= bucket < buckets:
-            columns = [np.concatenate(c) for c in zip(*(_from_parcel(n, blob) for n, blob in parts), strict=True)]
-            rows = settle_pieces(columns, buckets, bucket)
+            sent = [np.concatenate(c) for c in zip(*(unpacked(n, blob, _SENT) for n, blob in parts), strict=True)]
+            rows = settle_pieces(with_whole(sent), buckets, bucket)
         else:
             rows = [(bucket if bucket < 0 else bucket - buckets, n, blob) for n, blob in parts]
         if rows:
@@ -354,32 +356,26 @@ def cut_out(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int,
     return len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, finish: Callable[[bytes], object], column: str, kind: pa.DataType, keep: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with ``n_bytes, n_removed, n_spans`` and ``finish`` of what is left.
+def remove_repeats(docs: DataFrame, finish: Callable[[bytes], object], kind: pa.DataType, declared: str, keep: list[str]) -> DataFrame:
+    """``(row, n_bytes, n_removed, n_spans, kept)`` for every row of ``docs``.
 
-    ``column`` declares the last column as ``name type``; ``keep`` names further
-    columns of ``docs`` to carry along.
+    ``row`` is a struct of the columns named in ``keep``; ``kept`` is ``finish``
+    of what is left, of Arrow type ``kind`` and Spark type ``declared``.
     """
-    extra = keep or []
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = per_document(repeated_strings(Workspace(docs.sparkSession, "suffix"), source))
-    carried = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in extra if c not in ("doc_id", "text")))
+    carried = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*keep).alias("row"))
     joined = carried.join(spans, "doc_id", "left")
-    others = [c for c in carried.columns if c not in ("doc_id", "text")]
-    name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [cut_out(text, *ranges) for text, ranges in zip(text_bytes(batch.column("text")), span_arrays(batch.column("spans")), strict=True)]
             n, gone, runs, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(batch.column(c) for c in others), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([finish(k) for k in kept], kind)],
-                ["doc_id", *others, "n_bytes", "n_removed", "n_spans", name],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([finish(k) for k in kept], kind)], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kinds = "".join(f"`{c}` {t}, " for c, t in carried.dtypes if c in others)
-    return joined.select("doc_id", "text", *others, "spans").mapInArrow(run, f"doc_id long, {kinds}n_bytes long, n_removed long, n_spans long, {column}")
+    return joined.select("row", "text", "spans").mapInArrow(run, f"row {dict(carried.dtypes)['row']}, n_bytes long, n_removed long, n_spans long, kept {declared}")
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), lambda kept: hashlib.sha256(kept).hexdigest(), "kept_sha256 string", pa.string())
+    found = remove_repeats(table(spark, sf_dir, "documents"), lambda kept: hashlib.sha256(kept).hexdigest(), pa.string(), "string", ["doc_id"])
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
