@@ -38,7 +38,7 @@ def gate(df: DataFrame, checks: dict[str, Column], ratio: tuple[Column, Column])
 
 def transition_violations(moves: DataFrame, allowed: DataFrame, before: str, after: str) -> DataFrame:
     """Moves that the table of allowed ones does not list; a first move is always allowed."""
-    return moves.filter(F.col(before).isNotNull()).join(F.broadcast(allowed), [before, after], "left_anti")
+    return moves.filter(F.col(before).isNotNull()).join(allowed, [before, after], "left_anti")
 
 
 def merge_decisions(ours: DataFrame, theirs: DataFrame, key: str, value: str) -> DataFrame:

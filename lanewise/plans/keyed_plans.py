@@ -62,7 +62,7 @@ SELECT c_custkey, CASE WHEN n.v IS NOT NULL THEN n.v WHEN r.k IS NOT NULL THEN C
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN nation_layer n ON n.k = c_nationkey LEFT JOIN r ON r.k = n_regionkey""")
 def cascade_first_hit(spark: SparkSession, d: str) -> DataFrame:
     nation, region = read(spark, d, "nation"), read(spark, d, "region")
-    people = read(spark, d, "customer", "c_custkey", "c_nationkey").join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey"))), "c_nationkey").withColumn("everyone", F.lit(1))
+    people = read(spark, d, "customer", "c_custkey", "c_nationkey").join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("r_regionkey")), "c_nationkey").withColumn("everyone", F.lit(1))
     by_nation = nation.filter("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("N"), "n_nationkey").alias("v"))
     by_region = region.filter("r_regionkey IN (0, 2)").select("r_regionkey", F.concat(F.lit("R"), "r_regionkey").alias("v"))
     by_region = by_region.unionByName(region.filter("r_regionkey = 2").select("r_regionkey", F.concat(F.lit("X"), "r_regionkey").alias("v")))
@@ -197,7 +197,7 @@ def kfold_split_metrics(spark: SparkSession, d: str) -> DataFrame:
     span = F.floor(F.col("doc_id") / 1024)
     cells = labels.groupBy(span.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
     before = cells.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    ranked = labels.withColumn("cell", span).join(F.broadcast(before), "cell")
+    ranked = labels.withColumn("cell", span).join(before, "cell")
     ranked = ranked.withColumn("fold", (F.col("base") + F.row_number().over(Window.partitionBy("cell").orderBy("doc_id")) - 1) % 5)
     found = ranked.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("predicted"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("k"))
     return found.select("fold", "n", "predicted", F.round(F.try_divide(F.col("k").cast("double"), F.col("predicted").cast("double")), 6).alias("precision_"), F.round(F.col("predicted").cast("double") / F.col("n"), 6).alias("coverage"))
