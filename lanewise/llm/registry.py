@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embdedup, langid, packing, simhash, substring, sufdedup, tokencount, urlfilter, warc
+from . import decontaminate, embdedup, langid, oracles, packing, simhash, substring, sufdedup, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embeddings": oracles.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op8_substring": oracles.OP8_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
 }
