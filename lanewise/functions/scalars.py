@@ -85,3 +85,46 @@ def occurrence_id(**fields: Column) -> Column:
 
 def review_id(occurrence: Column, schema: str = "2.5.0") -> Column:
     return F.concat(F.lit("rev_"), F.sha2(F.concat(F.lit(schema + "|"), occurrence), 256))
+
+
+def comparator_reading(value: Column) -> Column:
+    """The comparator's plainer spelling: marks unified and ASCII spaces and notes gone, tones left
+    where they are, nothing composed; blank if a character is no letter or tone."""
+    text = F.regexp_replace(F.translate(F.coalesce(value, F.lit("")), "‧・一 ", "˙˙ㄧ"), "[（(][^）)]*[）)]", "")
+    return F.when(text.rlike(f"^[{LETTERS}{TONES}]+$"), text).otherwise("")
+
+
+def syllables(value: Column) -> Column:
+    """The readable syllables of a spaced reading, in order."""
+    parts = F.transform(F.split(F.coalesce(value, F.lit("")), "[\\s\\x{3000}]+"), comparator_reading)
+    return F.filter(parts, lambda x: x != "")
+
+
+def outside_brackets(value: Column, marks: str = "、，,；;") -> Column:
+    """Items of a list, cut at marks that stand outside brackets; blanks dropped."""
+    # a mark is outside if no closing bracket follows without an opening one before it
+    cut = F.split(F.coalesce(value, F.lit("")), f"[{marks}](?![^（(]*[）)])")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def page_token(value: Column) -> Column:
+    """Whole numbers without a fraction ("7.0" is "7"), other texts as they are."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    number = text.try_cast("double")
+    return F.when(number.isNotNull() & (number == F.floor(number)), F.floor(number).cast("string")).otherwise(text)
+
+
+def context_key(value: Column) -> Column:
+    """A context without white space, its punctuation in one width."""
+    return F.regexp_replace(F.translate(F.coalesce(value, F.lit("")), ",.!?;:()", "，。！？；：（）"), r"[\s\x{3000}]+", "")
+
+
+def version_family(value: Column) -> Column:
+    """``major.minor`` of a version, null where it has fewer parts."""
+    parts = F.split(value, r"\.")
+    return F.when(F.size(parts) >= 2, F.concat_ws(".", parts[0], parts[1]))
+
+
+def compatible_versions(a: Column, b: Column) -> Column:
+    """Equal, or of one family."""
+    return F.coalesce((a == b) | (version_family(a) == version_family(b)), F.lit(False))

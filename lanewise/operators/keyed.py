@@ -108,3 +108,38 @@ def first_differing_pair(df: DataFrame, keys: Sequence[str], member: str, axes:
         apart = apart & (F.col(f"_a_{a}") != F.col(f"_b_{a}"))
     pairs = left.join(right, list(keys)).filter(apart)
     return pairs.groupBy(*keys).agg(F.min(F.struct("first_id", "second_id")).alias("_p")).select(*keys, "_p.first_id", "_p.second_id")
+
+
+def reuse(sources: list[tuple[str, DataFrame]], keys: Sequence[str], value: str, quarantined: DataFrame) -> DataFrame:
+    """Readings that independent sources agree on; any disagreement or quarantine gives none.
+
+    ``sources`` are named, strongest first; ``basis`` is the strongest that knows
+    the key. Gives every key that any source knows.
+    """
+    every = None
+    for rank, (name, table) in enumerate(sources):
+        rows = table.select(*keys, F.col(value).alias("_v"), F.lit(rank).alias("_rank"), F.lit(name).alias("_name"))
+        every = rows if every is None else every.unionByName(rows)
+    facts = every.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min(F.struct("_rank", "_name")).alias("_b"))
+    facts = facts.join(quarantined.select(*keys, F.lit(True).alias("_q")).distinct(), list(keys), "left")
+    status = F.when(F.col("_q"), "quarantined").when(F.col("_lo") != F.col("_hi"), "conflict").otherwise("agreed")
+    return facts.select(*keys, F.when(status == "agreed", F.col("_lo")).alias(value), F.when(status == "agreed", F.col("_b._name")).alias("basis"), status.alias("status"))
+
+
+def swap_if(current: DataFrame, updates: DataFrame, key: str, revision: str) -> tuple[DataFrame, DataFrame]:
+    """Compare and swap by revision: the new table, and the updates refused.
+
+    An update names the revision it saw as ``expected``; it holds only if that is
+    still the row's, and then the revision goes up by one. Two updates of one key
+    are both refused, since neither can be first.
+    """
+    once = updates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    judged = updates.join(once, key).join(current.select(key, F.col(revision).alias("_now")), key, "left")
+    fits = F.coalesce((F.col("_n") == 1) & (F.col("_now") == F.col("expected")), F.lit(False))
+    held, refused = judged.filter(fits), judged.filter(~fits).select(*updates.columns)
+    changed = [c for c in updates.columns if c not in (key, "expected")]
+    fresh = held.select(key, *(F.col(c).alias(f"_u_{c}") for c in changed), F.lit(True).alias("_hit"))
+    merged = current.join(fresh, key, "left")
+    columns = {c: F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)) for c in changed}
+    columns[revision] = F.when(F.col("_hit"), F.col(revision) + 1).otherwise(F.col(revision))
+    return merged.withColumns(columns).select(*current.columns), refused
