@@ -105,6 +105,7 @@ def _pairs(whole: pa.Table, threshold: float) -> pa.RecordBatch:
         c = np.frombuffer(b"".join(coded[a:b]), np.int64).reshape(b - a, TABLES, PROBES)
         near = v @ v.T >= threshold
         near &= (probe[a:b] == 0)[:, None] | (probe[a:b] == 0)[None, :]  # one of the two is at home here
+        near &= slot[a:b][:, None] == slot[a:b][None, :]  # two buckets whose keys collide stay apart
         if own[a] != other[a]:
             near &= blk[a:b][:, None] != blk[a:b][None, :]
         i, j = np.nonzero(np.triu(near, 1))
