@@ -7,6 +7,7 @@ that grow with the input to the driver.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -42,10 +43,11 @@ class Workspace:
         self.root = f"{shared_dir(spark).rstrip('/')}/lanewise/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path, schema = f"{self.root}/{name}", df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        del df  # its shuffle files can go, unless the caller keeps the frame
         self.release()
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -122,6 +124,23 @@ def blocks_of_groups(df: DataFrame, key: str, member: str, block: int) -> DataFr
     return sized.withColumn("unit", F.xxhash64(F.col(key), F.col("own"), F.col("other"))).drop("_n", "_b", "_x")
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """This Python worker's cache for one operator.
+
+    Workers outlive tasks and jobs; what another operator has left here is dropped
+    first, so that a worker never holds more than one operator's cache.
+    """
+    if owner not in _caches:
+        left = any(_caches.values())
+        _caches.clear()
+        if left and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+    return _caches.setdefault(owner, {})
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable for each of n nodes, by pointer jumping."""
     label = np.arange(n)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_cache
 
 ERROR_RATE = 0.05
 MIN_CHARS = 25
@@ -140,6 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            worker_cache("items")
             items = Items(shared.value, rate)
             for batch in batches:
                 rows = []

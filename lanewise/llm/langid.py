@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_cache
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -207,6 +207,7 @@ def predictions(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     rows = docs.select(F.struct(*columns).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         fitted = shared.value
         for batch in batches:
             found = [fitted.predict(text.as_py()) for text in batch.column("text")]

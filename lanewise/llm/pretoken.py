@@ -20,10 +20,12 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import worker_cache
+
 #: Fixed value: the pre-token pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's cache of misses; past it the cache starts anew.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 1_000_000
 #: Characters of text whose misses are encoded in one call.
 GULP = 4 << 20
 
@@ -116,15 +118,12 @@ class Lookup:
         return out
 
 
-_LOOKUPS: dict = {}
-
-
 def lookup(path: str, kind: str, first: dict, value) -> Lookup:
     """This worker process's lookup, kept between tasks."""
-    key = (path, kind)
-    if key not in _LOOKUPS:
-        _LOOKUPS[key] = Lookup(path, first, value)
-    return _LOOKUPS[key]
+    held = worker_cache(f"tokens {kind}")
+    if path not in held:
+        held[path] = Lookup(path, first, value)
+    return held[path]
 
 
 def id_bytes(ids: list[int]) -> bytes:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks_of_groups, by_group, connected_components, local_components, table, text_bytes
+from .common import Workspace, blocks_of_groups, by_group, connected_components, local_components, table, text_bytes, worker_cache
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -89,6 +89,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, words: int = 1) ->
     """``(doc_id, fp)``: the fingerprint of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             prints = pa.array([fingerprint_of(t, width, words) for t in text_bytes(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints], ["doc_id", "fp"])

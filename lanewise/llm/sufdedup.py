@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_bytes
+from .common import Workspace, table, text_bytes, worker_cache
 from .repeats import (
     _PARCEL,
     RANGES,
@@ -99,6 +99,7 @@ def segments(text: bytes) -> Iterator[tuple[int, bytes]]:
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
     """Every anchor under its hash; a place is the anchor's position."""
+    worker_cache("suffix")
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
             if len(text) < LENGTH:
@@ -131,6 +132,7 @@ def with_whole(sent: list[np.ndarray]) -> Pieces:
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
     """The pieces around each document's repeated anchors."""
+    worker_cache("suffix")
     for batch in batches:
         for doc_id, text, (start, stop) in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), span_arrays(batch.column("spans")), strict=True):
             if len(text) < LENGTH or not len(start):
