@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-CHUNK = 1_000_000
+CHUNK = 600_000
 BUCKETS_PER_PARTITION = 4
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -62,7 +62,7 @@ GRAM = 37
 SPAN = LENGTH - GRAM + 1  # 64 k-grams, in pieces of 16
 WIDTH = 16
 SIDE = WIDTH - 1
-CHUNK_PIECES = 400_000
+CHUNK_PIECES = 250_000
 CHUNK_CAP = 256
 ARRAY_CAP = 4_096
 ARRAY_SYMBOLS = 200_000
