@@ -25,9 +25,9 @@ from .common import worker_cache
 #: Fixed value: the pre-token pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a worker's cache of misses; past it the cache starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Characters of text whose misses are encoded in one call.
-GULP = 4 << 20
+GULP = 1 << 20
 
 _HIGH = re.compile("[\u0558-\U0010ffff]")
 
