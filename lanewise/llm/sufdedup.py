@@ -346,7 +346,10 @@ def repeated_strings(ws: Workspace, docs: DataFrame) -> DataFrame:
     near = docs.join(per_document(shared), "doc_id")
     sent = dealt(near.mapInArrow(lambda b: _gather(b, buckets), _PARCEL))
     settled = ws.write(sent.mapInArrow(lambda b: _settle(b, buckets), _PARCEL), "settled")
-    return ws.write(dealt(settled).mapInArrow(_decide, RANGES), "strings")
+    ws.drop("anchors")  # all that was read from it is written
+    strings = ws.write(dealt(settled).mapInArrow(_decide, RANGES), "strings")
+    ws.drop("settled")
+    return strings
 
 
 def cut_out(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, int, bytes]:
