@@ -65,17 +65,21 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint_of(text: bytes, width: int = SHINGLE_WORDS, words: int = 1, seed: int = SEED) -> bytes:
-    """The SimHash of one text (UTF-8): ``words`` big-endian 64-bit words."""
+def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of one text (UTF-8), in order and with repeats."""
     tokens = text.lower().split()  # on bytes both are ASCII only: A-Z, and \x20 \x09-\x0D
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, dtype="<u8")
     if len(tokens) <= width:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*(tokens[k:] for k in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), dtype="<u8")
+    return np.fromiter((digest(s, seed) for s in shingles), dtype="<u8")
+
+
+def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
+    """The SimHash of shingles given by their hashes: ``words`` big-endian 64-bit words."""
     ones = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
@@ -85,6 +89,11 @@ def fingerprint_of(text: bytes, width: int = SHINGLE_WORDS, words: int = 1, seed
     return bits.view("<u8").astype(">u8").tobytes()
 
 
+def fingerprint_of(text: bytes, width: int = SHINGLE_WORDS, words: int = 1, seed: int = SEED) -> bytes:
+    """The SimHash of one text (UTF-8): ``words`` big-endian 64-bit words."""
+    return fingerprint(shingle_hashes(text, width, seed), words)
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, words: int = 1) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint of every whole text."""
 
