@@ -10,9 +10,12 @@ The items are a stated query set against all documents: they are read in blocks
 of at most ``BLOCK_CHARS`` characters, and each block is broadcast and scanned
 on its own, so any number of items works. No document is shuffled.
 
-Cases: null and empty texts match nothing; null and empty items, and items
-shorter than ``MIN_CHARS`` characters, are not looked for; equal items all
-match; repeated rows of a document are compared each, and give repeated rows;
+Items below ``SHORT_CHARS`` characters have a budget of 1 or 0 edits by the same rule.
+They are found like all others, and their rows are marked ``short``, since such
+a text may also stand in a document by chance.
+
+Cases: null and empty texts match nothing; null and empty items have nothing to
+look for; equal items all match; repeated rows of a document are compared each, and give repeated rows;
 extra columns are ignored; empty tables give an empty result.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, worker_cache
 
 ERROR_RATE = 0.05
-MIN_CHARS = 25
+SHORT_CHARS = 25
 BLOCK_CHARS = 8 << 20
 
 
@@ -87,8 +90,8 @@ class Items:
         self.automaton.make_automaton()
         self.rate = rate
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item id, distance, end) of each item that ``text`` holds, at its best."""
+    def matches(self, text: str) -> list[tuple[int, int, int, bool]]:
+        """(item id, distance, end, short) of each item that ``text`` holds, at its best."""
         starts: dict[int, list[int]] = {}
         for end, (size, at) in self.automaton.iter(text):
             for k, offset in at:
@@ -107,16 +110,18 @@ class Items:
                 distance, end = best_end(item, text[low : covered + len(item) + most])
                 if distance <= most and (best is None or distance < best[0]):
                     best = (distance, low + end)
+                    if distance == 0:
+                        break
             if best:
-                found.append((item_id, *best))
+                found.append((item_id, *best, len(item) < SHORT_CHARS))
         return found
 
 
-def _blocks(benchmark: DataFrame, most: int, shortest: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
     held, size = [], 0
     rows = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     for row in rows.toLocalIterator():
-        if len(normal(row.text)) < shortest:
+        if not normal(row.text):
             continue
         if held and size + len(row.text) > most:
             yield held
@@ -127,16 +132,17 @@ def _blocks(benchmark: DataFrame, most: int, shortest: int) -> Iterator[list[tup
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, shortest: int = MIN_CHARS, most: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, item_id, distance, end_char)``: the items that each document holds.
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, most: int = BLOCK_CHARS) -> DataFrame:
+    """``(doc_id, item_id, distance, end_char, short)``: the items that each document holds.
 
-    ``end_char`` counts characters of the normalised text.
+    ``end_char`` counts characters of the normalised text; ``short`` marks items
+    below ``SHORT_CHARS`` characters.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, distance int, end_char long"
+    schema = "doc_id long, item_id long, distance int, end_char long, short boolean"
     source = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     result = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark, most, shortest):
+    for block in _blocks(benchmark, most):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -146,8 +152,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     rows += [(doc_id, *m) for m in items.matches(normal(text.as_py()))]
-                columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "end_char"])
+                columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "distance", "end_char", "short"])
 
         result = result.unionByName(source.mapInArrow(run, schema))
     return result
