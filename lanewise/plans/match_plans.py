@@ -56,8 +56,8 @@ def nearest_neighbor(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, substr(text, 1, 40) AS head FROM benchmark) ON contains(text, head)""")
 def containment_join(spark: SparkSession, d: str) -> DataFrame:
-    heads = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("head"))
-    return matching.contain_join(read(spark, d, "documents", "doc_id", "text"), "text", heads, "head").select("doc_id", "item_id")
+    phrases = read(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return matching.contain_join(read(spark, d, "documents", "doc_id", "text"), "text", phrases, "phrase").select("doc_id", "item_id")
 
 
 @query("""
