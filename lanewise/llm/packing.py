@@ -11,7 +11,8 @@ equal bins are placed in one step, which gives the same bins as one by one.
 Every piece then finds its place by its rank among the pieces of its length:
 ranks are local to a written part plus the counts of the parts before it, so no
 window over a hot length and no global sort is needed. The plan's size depends
-on ``capacity`` alone, not on the data, and is broadcast.
+on ``capacity`` alone, not on the data, and is broadcast; the counts grow with
+the parts and are joined by merging.
 
 Cases: a null or empty text is the end id alone; documents of exactly
 ``capacity`` fill a sequence; repeated rows are packed as often as they occur;
@@ -114,13 +115,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        words = lookup(path, "ids", {}, id_bytes)
+        words = lookup(path, "ids", id_bytes)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            coded = words.each((t or "" for t in batch.column("text").to_pylist()), b"".join)
             rows = []
-            for doc_id, body in zip(ids, coded, strict=True):
-                body += tail
+            for doc_id, text in zip(ids, batch.column("text"), strict=True):
+                body = words.of(text.as_py() or "", b"".join) + tail
                 n = len(body) // 4
                 first = n % capacity or capacity  # the short piece comes first, the rest are full
                 start = 0
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = cut.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
+    ranked = cut.join(bases.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

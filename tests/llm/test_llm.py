@@ -218,25 +218,61 @@ def test_token_counts(docs, corpus, nothing):
     assert pieces == {i: len(model.encode(t or "")) for i, t in corpus}
 
 
-def test_every_code_point_is_cut_as_the_library_cuts_it():
-    cutter = pretoken.opened(VOCABULARY)
+def coded_by_words(vocabulary, text):
+    return [i for w in pretoken.words(text) for i in vocabulary.word_ids(w)]
+
+
+def test_every_code_point_is_coded_as_the_library_codes_it():
+    vocabulary = pretoken.opened(VOCABULARY)
     points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
-    wrong = []
-    for c in points:
-        text = f"a{chr(c)}1{chr(c)}{chr(c)}! {chr(c)}x"
-        if cutter.exact(text) and [text[a:b] for _, (a, b) in cutter.tokenizer.pre_tokenizer.pre_tokenize_str(text)] != cutter.findall(text):
-            wrong.append(c)
-    assert wrong == []
-
-
-def test_cache_stays_bounded():
-    table = pretoken.Lookup(VOCABULARY, {}, len, entries=50)
-    texts = [words(random.Random(k), 20) for k in range(30)]
-    assert table.each(texts, sum) == [len(x) for x in true_ids(texts)]
-    small = pretoken.Lookup(VOCABULARY, {}, len, entries=50)
-    for t in texts:
-        assert small.each([t], sum) == [len(true_ids([t])[0])]
-        assert len(small.seen) <= 70
+    texts = [f"a{chr(c)}1{chr(c)}{chr(c)}! {chr(c)}x {chr(c)} {chr(c)}" for c in points]
+    texts = [t for t in texts if vocabulary.exact(t)]
+    assert len(texts) > 100_000
+    assert [t for t, ids in zip(texts, true_ids(texts), strict=True) if coded_by_words(vocabulary, t) != ids] == []
+
+
+def test_white_space_is_coded_as_the_library_codes_it():
+    rng = random.Random(12)
+    vocabulary = pretoken.opened(VOCABULARY)
+    parts = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "\u200b", "ab", "Z", "é", "12", "'s", "!?", "_", "\u4e2d"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(30_000)] + ["", " ", "  ", " a ", "a  ", "\n ", " \n"]
+    assert [t for t, ids in zip(texts, true_ids(texts), strict=True) if coded_by_words(vocabulary, t) != ids] == []
+
+
+def test_coding_by_ranks_is_checked():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    assert pretoken.ranked_coder(tokenizer, model) is not None
+    assert pretoken.ranked_coder(tokenizer, model | {"merges": model["merges"][1:] + model["merges"][:1]}) is None
+    assert pretoken.ranked_coder(tokenizer, model | {"ignore_merges": True}) is None
+    other = pretoken.opened(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.exact("plain text")
+
+
+def test_cache_stays_bounded(monkeypatch):
+    texts = [words(random.Random(k), 20) for k in range(30)] + [words(random.Random(99), 500)]
+    first = {"tier": 1}
+    table = pretoken.Lookup(VOCABULARY, len, first, most=50)
+    monkeypatch.setattr(pretoken, "SLICE", 64)
+    for text, ids in zip(texts, true_ids(texts), strict=True):
+        assert table.of(text, sum) == len(ids)
+        assert len(table.held) <= 50 + 64 and len(table.held.before) <= 50 + 64 and table.held["tier"] == 1
+
+
+def test_frequent_words_are_those_of_all_parts(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["x", "the", "of", "und", "w" * 40, f"rare{k}"]) for _ in range(60))) for k in range(90)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for fan in (2, 32):
+        assert len(tokencount.frequent_words(Workspace(spark, "t"), df, most=3, fan=fan)) == 3
+        got = tokencount.frequent_words(Workspace(spark, "t"), df, most=4, fan=fan)
+        assert got == ["of", "the", "und", "x"]
+    assert tokencount.frequent_words(Workspace(spark, "t"), df.limit(0)) == []
+    tier = tokencount.Tier.of(["of", "\u00e9t\u00e9", "x"], VOCABULARY)
+    assert tier.lengths() == {w: len(true_ids([" " + w])[0]) for w in ("of", "\u00e9t\u00e9", "x")}
 
 
 # 4
