@@ -22,7 +22,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +47,6 @@ REJECTED = 0.001
 CEILING = 0.5
 SEED = 11
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SCORE_SPAN = 1 << 18
 
 
@@ -64,6 +62,11 @@ def _byte_table() -> np.ndarray:
 _BYTES = _byte_table()
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter by its Unicode category."""
+    return any(map(str.isalpha, text))
+
+
 def letters(text: str) -> np.ndarray:
     """The normalised bytes of a text: words of letters with one space around each."""
     raw = _BYTES[np.frombuffer(text.lower().encode("utf-8") if not text.isascii() else text.encode(), np.uint8)]
@@ -104,7 +107,7 @@ class Model:
 
     def logits(self, text: str) -> np.ndarray | None:
         """Class scores of a whole text, None if it has no letters."""
-        if not _LETTER.search(text):
+        if not has_letter(text):
             return None
         raw = letters(text)
         total, n = np.zeros(len(self.languages)), 0
@@ -137,7 +140,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, str]], bits: int = BITS) -> Model:
     """Fit on (text, language) rows; every ``CALIBRATION``-th one is for calibration."""
-    rows = [r for r in rows if _LETTER.search(r[0])]
+    rows = [r for r in rows if has_letter(r[0])]
     names = sorted({lang for _, lang in rows})
     if not names:
         return Model([], np.zeros((0, 1 << bits), np.float32), np.zeros(0), 1.0, 0.0, bits)
