@@ -6,7 +6,8 @@ intervals of rules are nested or disjoint. URLs are range partitioned and
 sorted by the same key; each partition merges them with the sorted rules and
 keeps a stack of the rule hosts whose intervals are open, from which the
 fitting rule with the longest host and path together is taken (at equal length
-the one with the longer host, then the first by text).
+the one with the longer host, then the first by text). A host may itself hold the
+mark, so the rule's host is compared once more before it is taken.
 
 The rules are the caller's own list, held by the driver already; it is sent to
 the workers only up to ``MAX_RULE_BYTES``. Longer lists are cut into sets below
@@ -43,6 +44,9 @@ class Rule:
     def text(self) -> str:
         return self.host + self.path
 
+    def fits(self, host: str, path: str) -> bool:
+        return path.startswith(self.path) and (host == self.host or host.endswith("." + self.host))
+
     @property
     def key(self) -> str:
         return "".join(label + _END for label in reversed(self.host.split(".")))
@@ -89,7 +93,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], hosts: list[tuple[str, list[Rule]]
     at, open_ = 0, []
     for batch in batches:
         found: list[Rule | None] = []
-        for key, path in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True):
+        for key, host, path in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "path")), strict=True):
             while at < len(hosts) and hosts[at][0] <= key:
                 while open_ and not hosts[at][0].startswith(open_[-1][0]):
                     open_.pop()
@@ -99,9 +103,9 @@ def _sweep(batches: Iterator[pa.RecordBatch], hosts: list[tuple[str, list[Rule]]
                 open_.pop()
             best = None
             for _, rules in open_:
-                fits = next((r for r in rules if path.startswith(r.path)), None)  # longest path first
-                if fits is not None and (best is None or len(fits.text) >= len(best.text)):
-                    best = fits
+                longest = next((r for r in rules if r.fits(host, path)), None)  # longest path first
+                if longest is not None and (best is None or len(longest.text) >= len(best.text)):
+                    best = longest
             found.append(best)
         names = ["page_id", "host", "path"]
         yield pa.RecordBatch.from_arrays(
