@@ -5,7 +5,9 @@ Places ``(key, doc, pos)`` are gathered in Python into chunks of about
 (a place whose key has an earlier place in the same chunk) never leaves it, and
 of every key only its first document's places go on. So however hot a key is,
 its reducer receives one document's places per chunk. The rest travels as one
-binary row per chunk and bucket and is settled per bucket with sorted arrays.
+compressed row per chunk and bucket and is settled per bucket with sorted arrays.
+Buckets and partitions grow with the bytes of the input, so that a bucket's share
+of it does not.
 
 Results are ranges ``(doc_id, start, stop)`` of positions.
 """
@@ -16,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from .common import shuffle_width
 
 CHUNK = 600_000
 BUCKETS_PER_PARTITION = 4
+#: Text for each partition of the shuffles, where the session sets no more of them.
+PARTITION_BYTES = 64 << 20
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 RANGES = "doc_id long, start int, stop int"
@@ -79,14 +84,29 @@ def range_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc_id", "start", "stop"])
 
 
+def _by_byte(kind: np.dtype) -> bool:
+    """Whether a column is sent byte by byte of its numbers, which compresses well."""
+    return kind.kind in "iu" and kind.itemsize > 1
+
+
 def packed(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    parts = []
+    for column in map(np.ascontiguousarray, columns):
+        if _by_byte(column.dtype):
+            column = np.ascontiguousarray(column.view(np.uint8).reshape(-1, column.dtype.itemsize).T)
+        parts.append(column.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpacked(n: int, blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     out, at = [], 0
-    for kind in kinds:
-        a = np.frombuffer(blob, kind, n, at)
+    for kind in map(np.dtype, kinds):
+        if _by_byte(kind):
+            a = np.frombuffer(blob, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+            a = np.ascontiguousarray(a.T).view(kind).ravel()
+        else:
+            a = np.frombuffer(blob, kind, n, at)
         out.append(a)
         at += a.nbytes
     return out
@@ -175,15 +195,18 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield at, held
 
 
-def bucket_count(df: DataFrame) -> int:
-    return BUCKETS_PER_PARTITION * shuffle_width(df.sparkSession)
+def partitions_for(source: DataFrame) -> int:
+    """Partitions of the shuffles of an operator that reads ``source``."""
+    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(shuffle_width(source.sparkSession), -(-size // PARTITION_BYTES))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_width(rows.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
+def dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    """Parcels of one bucket in one partition; buckets are spread evenly."""
+    return rows.repartitionById(partitions, F.pmod(F.col("bucket"), F.lit(partitions))).sortWithinPartitions("bucket")
 
 
-def repeated_places(source: DataFrame, places: Callable[[Iterator[pa.RecordBatch]], Iterator[Places]], across_docs: bool, any_repeat: bool) -> DataFrame:
+def repeated_places(source: DataFrame, places: Callable[[Iterator[pa.RecordBatch]], Iterator[Places]], across_docs: bool, any_repeat: bool, partitions: int) -> DataFrame:
     """``(doc_id, start, stop)`` ranges of the places whose key is repeated.
 
     ``places`` turns batches of ``source`` into places. With ``across_docs``
@@ -192,7 +215,7 @@ def repeated_places(source: DataFrame, places: Callable[[Iterator[pa.RecordBatch
     anywhere, otherwise only if the match lies in a smaller document (or, within
     one document, at an earlier position).
     """
-    buckets = bucket_count(source)
+    buckets = BUCKETS_PER_PARTITION * partitions
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, chunk in enumerate(gathered(places(batches))):
@@ -215,7 +238,7 @@ def repeated_places(source: DataFrame, places: Callable[[Iterator[pa.RecordBatch
             if len(hit):
                 yield range_batch(*to_ranges(doc[hit], pos[hit]))
 
-    return dealt(source.mapInArrow(gather, _PARCEL)).mapInArrow(decide, RANGES)
+    return dealt(source.mapInArrow(gather, _PARCEL), partitions).mapInArrow(decide, RANGES)
 
 
 def per_document(ranges: DataFrame) -> DataFrame:

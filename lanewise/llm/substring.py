@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, table, text_bytes
-from .repeats import Places, covered, mix, per_document, prefix, repeated_places, span_arrays, span_hash
+from .repeats import Places, covered, mix, partitions_for, per_document, prefix, repeated_places, span_arrays, span_hash
 
 WINDOW = 50
 #: A perfect difference set modulo 31.
@@ -108,9 +108,12 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
 
 def repeated_windows(ws: Workspace, docs: DataFrame) -> DataFrame:
     """Ranges of window starts that also occur in a smaller document."""
-    shared = ws.write(repeated_places(docs, anchors, across_docs=True, any_repeat=True), "anchors")
+    partitions = partitions_for(docs)
+    shared = ws.write(repeated_places(docs, anchors, True, True, partitions), "anchors")
     near = docs.join(per_document(shared), "doc_id")
-    return ws.write(repeated_places(near, windows, across_docs=True, any_repeat=False), "windows")
+    found = ws.write(repeated_places(near, windows, True, False, partitions), "windows")
+    ws.drop("anchors")
+    return found
 
 
 def kept_words(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, bytes]:

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, table, text_bytes, worker_cache
 from .repeats import (
     _PARCEL,
+    BUCKETS_PER_PARTITION,
     RANGES,
     Places,
-    bucket_count,
     by_bucket,
     combine,
     covered,
@@ -45,6 +45,7 @@ from .repeats import (
     packed,
     parcel_batch,
     parcels,
+    partitions_for,
     per_document,
     prefix,
     range_batch,
@@ -341,13 +342,14 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_strings(ws: Workspace, docs: DataFrame) -> DataFrame:
     """Ranges of starts whose ``LENGTH``-byte string also starts earlier."""
-    buckets = bucket_count(docs)
-    shared = ws.write(repeated_places(docs, anchors, across_docs=False, any_repeat=True), "anchors")
+    partitions = partitions_for(docs)
+    buckets = BUCKETS_PER_PARTITION * partitions
+    shared = ws.write(repeated_places(docs, anchors, False, True, partitions), "anchors")
     near = docs.join(per_document(shared), "doc_id")
-    sent = dealt(near.mapInArrow(lambda b: _gather(b, buckets), _PARCEL))
+    sent = dealt(near.mapInArrow(lambda b: _gather(b, buckets), _PARCEL), partitions)
     settled = ws.write(sent.mapInArrow(lambda b: _settle(b, buckets), _PARCEL), "settled")
     ws.drop("anchors")  # all that was read from it is written
-    strings = ws.write(dealt(settled).mapInArrow(_decide, RANGES), "strings")
+    strings = ws.write(dealt(settled, partitions).mapInArrow(_decide, RANGES), "strings")
     ws.drop("settled")
     return strings
 
