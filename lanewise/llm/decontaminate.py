@@ -21,6 +21,7 @@ extra columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import Workspace, table, worker_cache
 
 ERROR_RATE = 0.05
 SHORT_CHARS = 25
@@ -132,6 +133,19 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+def _items(block: list[tuple[int, str]], name: str, rate: float) -> Items:
+    """The automaton of a block, kept by a worker from task to task."""
+    held = worker_cache("items")
+    if (name, rate) not in held:
+        held.clear()
+        held[name, rate] = Items(block, rate)
+    return held[name, rate]
+
+
+def _name(block: list[tuple[int, str]]) -> str:
+    return hashlib.sha256(repr(block).encode()).hexdigest()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, most: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, distance, end_char, short)``: the items that each document holds.
 
@@ -143,12 +157,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     source = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     result = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, most):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), _name(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            worker_cache("items")
-            items = Items(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                items = _items(shared.value, name, rate)
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     rows += [(doc_id, *m) for m in items.matches(normal(text.as_py()))]
@@ -159,5 +172,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     return result
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, most: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item: each is judged where it is read."""
+    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "clean")
+    for k, block in enumerate(_blocks(benchmark, most)):
+        if k:
+            docs = ws.write(docs, f"block{k}")  # one automaton at a time in a worker
+        shared, name, columns = spark.sparkContext.broadcast(block), _name(block), docs.columns
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text")
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                items = _items(shared.value, name, rate)
+                good = [not text.is_valid or not items.matches(normal(text.as_py())) for text in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(good, pa.bool_()))], ["row"])
+
+        docs = rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}").select("row.*")
+    return docs
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
