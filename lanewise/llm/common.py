@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests).
+#: Used only where a local session names no ``spark.checkpoint.dir`` (tests).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: Keys that hold more than one row in so many are hot: there are fewer of them than this.
+HOT_SHARE = 1_024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,32 +30,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from the session's own settings."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or DEFAULT_SHARED_DIR
 
 
 class Workspace:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
     Writing cuts lineage, so a lost executor costs one stage and not the whole
-    job. ``drop`` removes a table once everything read from it is written.
+    job. ``drop`` removes a table once everything read from it is written; all
+    that is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/lanewise/{label}-{uuid.uuid4().hex}"
+        self.marked = False
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self.marked:
+            root, files = self._path(self.root)
+            files.deleteOnExit(root)
+            self.marked = True
         del df  # its shuffle files can go, unless the caller keeps the frame
         self.release()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(f"{self.root}/{name}")
+            files.delete(path, True)
+
+    def _path(self, name: str):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
     def release(self) -> None:
         """Let the context cleaner remove shuffle files of finished jobs now."""
@@ -104,7 +119,7 @@ def by_group(
     return dealt.mapInArrow(run, schema)
 
 
-def blocks_of_groups(df: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def blocks_of_groups(ws: Workspace, df: DataFrame, key: str, member: str, block: int, name: str = "sizes") -> DataFrame:
     """Split groups of more than ``block`` rows so that pairs still meet.
 
     A group of n rows is dealt to b = ceil(n / block) blocks by a hash of
@@ -114,9 +129,10 @@ def blocks_of_groups(df: DataFrame, key: str, member: str, block: int) -> DataFr
     group of one block yields one unit. Every pair of rows meets in at least
     one unit; the two rows of a pair in the same block b meet in unit (b, b)
     and also in (b, x), so a unit with own != other compares across blocks only.
+    Rows of hot groups are dealt where they are, without meeting in a task.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    sized = df.join(sizes, key)
+    sizes = ws.write(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), name)
+    sized = join_hot(df, sizes, key, "_n")
     blocks = F.ceil(F.col("_n") / F.lit(block))
     sized = sized.withColumn("_b", blocks).withColumn("blk", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_b")).cast("int"))
     sized = sized.withColumn("_x", F.explode(F.sequence(F.lit(0), (F.col("_b") - 1).cast("int"))))
@@ -124,6 +140,20 @@ def blocks_of_groups(df: DataFrame, key: str, member: str, block: int) -> DataFr
     return sized.withColumn("unit", F.xxhash64(F.col(key), F.col("own"), F.col("other"))).drop("_n", "_b", "_x")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str = "n") -> DataFrame:
+    """Inner join where ``right`` has one row a key, and in ``size`` how many ``left`` rows it meets.
+
+    Rows of hot keys (one in ``HOT_SHARE`` of all or more, so at most that many keys)
+    stay where they are and meet a broadcast; only the others are shuffled by key.
+    Both sides are read more than once, so they should be written tables.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_SHARE >= total
+    there = left.join(F.broadcast(right.filter(hot)), key)
+    others = left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti")
+    return there.unionByName(others.join(right.filter(~hot), key))
+
+
 _caches: dict[str, dict] = {}
 
 

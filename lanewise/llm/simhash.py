@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks_of_groups, by_group, connected_components, local_components, table, text_bytes, worker_cache
+from .common import Workspace, blocks_of_groups, by_group, connected_components, join_hot, local_components, table, text_bytes, worker_cache
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -185,7 +185,7 @@ def links(ws: Workspace, distinct: DataFrame, words: int, radius: int, block: in
     """
     coded = ws.write(pivot_table(distinct, words, radius), "pivots")
     # skinny rows are dealt and split first; fingerprints join those that share a group
-    dealt = blocks_of_groups(coded.select("rep", F.explode("keys").alias("key")), "key", "rep", block)
+    dealt = blocks_of_groups(ws, coded.select("rep", F.explode("keys").alias("key")), "key", "rep", block)
     dealt = dealt.select("unit", "own", "other", "blk", "rep").join(coded.select("rep", "fp", "pv", "p0"), "rep")
 
     def run(whole: pa.Table) -> pa.RecordBatch:
@@ -202,11 +202,11 @@ def links(ws: Workspace, distinct: DataFrame, words: int, radius: int, block: in
 def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, words: int = 1, block: int = GROUP_BLOCK) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every document of ``docs``."""
     ws = Workspace(docs.sparkSession, "simhash")
-    prints = ws.write(fingerprints(docs, width, words), "prints").distinct()
-    distinct = ws.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    labels = connected_components(ws, links(ws, distinct, words, radius, block))
-    named = distinct.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    prints = ws.write(fingerprints(docs, width, words).distinct(), "prints")
+    distinct = ws.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
+    labels = connected_components(ws, links(ws, distinct.drop("n"), words, radius, block))
+    named = distinct.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    return join_hot(prints, ws.write(named, "named"), "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
