@@ -139,6 +139,26 @@ def test_embedding_groups(spark, block):
     assert embdedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_large_and_small_finite_vectors_link(spark):
+    a, b = [1e200, 1e200, 2e200], [1e200, 1.01e200, 2e200]
+    df = spark.createDataFrame([(1, a, "x"), (2, b, "x"), (3, [x * 1e-320 for x in (1.0, 1.0, 2.0)], "x"), (4, [0.0, 0.0, 0.0], "x")], "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embdedup.embedding_groups(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+@pytest.mark.parametrize("width", [16, 32, 64, 100, 384])
+def test_recall_at_the_threshold(width):
+    rng = np.random.default_rng(width)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, z = unit(rng.normal(size=(2000, width))), rng.normal(size=(2000, width))
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    for cosine in (0.98, 0.99):
+        a, b = embdedup.codes(x), embdedup.codes(unit(cosine * x + np.sqrt(1 - cosine**2) * z))
+        met = ((a[:, :, :1] == b) | (a == b[:, :, :1])).any(axis=(1, 2))
+        assert met.mean() >= 0.999
+    far = embdedup.codes(unit(rng.normal(size=(2000, width))))
+    assert ((a[:, :, :1] == far) | (a == far[:, :, :1])).any(axis=(1, 2)).mean() < 0.1
+
+
 def test_hadamard_is_orthogonal():
     h = embdedup.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))
