@@ -18,6 +18,7 @@ RULES = [
     ("r8", 90, "exact", "名", "一名", "ㄇㄧㄥˊ", []),
 ]
 WORDS = [("轉盤", ["ㄓㄨㄢˇ", "ㄆㄢˊ"]), ("轉成", ["ㄓㄨㄢˇ", "ㄔㄥˊ"]), ("成功", ["ㄔㄥˊ", "ㄍㄨㄥ"]), ("下巴", ["ㄒㄧㄚˋ", "˙ㄅㄚ"]), ("長大", ["ㄓㄤˇ", "ㄉㄚˋ"]), ("長大成人", ["ㄓㄤˇ", "ㄉㄚˋ", "ㄔㄥˊ", "ㄖㄣˊ"])]
+CHARACTERS = [("個", ["ㄍㄜˋ"]), ("角", ["ㄐㄧㄠˇ", "ㄐㄩㄝˊ"])]
 SINGLES = [("天", "ㄊㄧㄢ"), ("年", "ㄋㄧㄢˊ"), ("起", "ㄑㄧˇ"), ("個", "ㄍㄜˋ"), ("是", "ㄕˋ"), ("敢", "ㄍㄢˇ"), ("看", "ㄎㄢˋ"), ("轉", "ㄓㄨㄢˇ")]
 
 CASES = [
@@ -59,14 +60,20 @@ def assets(spark):
     return rules, spark.createDataFrame(WORDS, "word string, primary array<string>"), spark.createDataFrame(SINGLES, "char string, reading string")
 
 
+@pytest.fixture(scope="module")
+def characters(spark):
+    known = spark.createDataFrame(CHARACTERS, "char string, readings array<string>")
+    return expected.constrained(known, spark.createDataFrame([], "char string, allowed array<string>"))
+
+
 @pytest.fixture(scope="module")
 def occurrences(spark):
     rows = [(f"o{k}", line, pos, line[pos : pos + 1]) for k, (line, pos, _, _) in enumerate(CASES)]
     return spark.createDataFrame(rows, "occurrence_id string, line string, pos int, char string")
 
 
-def test_expected_lane(occurrences, assets):
-    got = {r.occurrence_id: r for r in expected.expected_lane(occurrences, *assets).collect()}
+def test_expected_lane(occurrences, assets, characters):
+    got = {r.occurrence_id: r for r in expected.expected_lane(occurrences, *assets, characters=characters).collect()}
     for k, (line, pos, status, options) in enumerate(CASES):
         r = got[f"o{k}"]
         assert (r.expected_status, set(r.expected_set.split("|"))) == (status, set(options.split("|"))), (line, pos, r)
@@ -79,7 +86,8 @@ def test_word_across_the_boundary_is_refused(spark, assets):
 
 
 def test_ledger_and_gate(spark, occurrences, assets):
-    lane = expected.expected_lane(occurrences, *assets)
+    characters = spark.createDataFrame([("個", ["ㄍㄜˋ"])], "char string, readings array<string>").withColumn("allowed", F.lit(None).cast("array<string>"))
+    lane = expected.expected_lane(occurrences, *assets, characters=characters)
     lane = spark.createDataFrame(lane.collect(), lane.schema)
     actual = lane.select("occurrence_id", F.get(F.split("expected_set", r"\|"), F.lit(0)).alias("actual"), F.lit("decoded").alias("actual_evidence"))
     extra = spark.createDataFrame([("lost", "ㄅㄚ", "decoded")], "occurrence_id string, actual string, actual_evidence string")
