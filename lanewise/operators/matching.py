@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to be sent to every task.
 SMALL_ROWS = 50_000
+#: Characters of phrases that one automaton takes.
+BLOCK_CHARS = 4 << 20
 
 
 def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
@@ -37,43 +40,77 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value
 def nearest_join(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, right_id: str, width: float) -> DataFrame:
     """For each left row the right row of its key with the nearest value, ties to the least id.
 
-    Values are cut into cells of ``width``. Within a cell rows meet by an equi
-    join; across empty cells only each cell's lowest and highest row count, and
-    a window over cells (not rows) carries them to the neighbours.
+    Values are cut into cells of ``width``. Within a cell both sides are merged in
+    order of value, and each left row looks at the right rows just before and after
+    it; across empty cells only each cell's lowest and highest row count, and a
+    window over cells (not rows) carries them to the neighbours. So a dense cell
+    costs a sort, not its pairs. Left rows are kept as often as they occur; those
+    without a key, a value or any right row of their key are left out.
     """
-    cells = right.withColumn("_cell", F.floor(F.col(right_value) / width)).select(key, "_cell", F.col(right_value).alias("_v"), F.col(right_id).alias("_id"))
-    own = left.withColumn("_cell", F.floor(F.col(left_value) / width))
-    inside = own.join(cells, [key, "_cell"])
-    edges = cells.groupBy(key, "_cell").agg(F.min(F.struct("_v", "_id")).alias("_low"), F.max(F.struct("_v", (-F.col("_id")).alias("_id"))).alias("_high"))
+    cell = lambda c: F.floor(F.col(c) / width)
+    points = right.filter(F.col(right_value).isNotNull()).groupBy(key, F.col(right_value).alias("_at")).agg(F.min(right_id).alias("_id"))
+    points = points.select(key, F.floor(F.col("_at") / width).alias("_cell"), "_at", F.struct(F.col("_at").alias("v"), F.col("_id").alias("i")).alias("_p"))
+    own = left.filter(F.col(left_value).isNotNull() & F.col(key).isNotNull()).select(key, cell(left_value).alias("_cell"), F.col(left_value).alias("_at"), F.struct(*left.columns).alias("_row"))
+    edges = points.groupBy(key, "_cell").agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"))
     wanted = own.select(key, "_cell").distinct().join(edges, [key, "_cell"], "full")
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(key).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
-    sides = wanted.select(key, "_cell", F.last("_high", True).over(before).alias("_b"), F.first("_low", True).over(after).alias("_a"))
-    outside = own.join(sides, [key, "_cell"])
-    low = outside.filter("_b IS NOT NULL").withColumn("_v", F.col("_b._v")).withColumn("_id", -F.col("_b._id"))
-    high = outside.filter("_a IS NOT NULL").withColumn("_v", F.col("_a._v")).withColumn("_id", F.col("_a._id"))
-    columns = [*left.columns, "_v", "_id"]
-    every = inside.select(*columns).unionByName(low.select(*columns)).unionByName(high.select(*columns))
-    distance = F.abs(F.col(left_value) - F.col("_v"))
-    best = every.groupBy(*left.columns).agg(F.min(F.struct(distance.alias("d"), F.col("_id").alias("i"))).alias("_best"))
-    return best.select(*left.columns, F.col("_best.i").alias(right_id), F.col("_best.d").alias("distance"))
-
-
-def contain_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, grams: int = 12) -> DataFrame:
-    """Texts with the phrases they contain.
-
-    A short phrase list goes to every task. A long one is joined on the first
-    ``grams`` characters of each phrase with the texts' own substrings of that
-    length, then tested; phrases shorter than that are always few and are sent.
+    sides = wanted.select(key, "_cell", F.last("_high", True).over(before).alias("_left"), F.first("_low", True).over(after).alias("_right"))
+    merged = own.unionByName(points, allowMissingColumns=True)
+    w = Window.partitionBy(key, "_cell").orderBy("_at", F.col("_row").isNotNull())
+    near = merged.withColumns({"_b": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    found = near.filter(F.col("_row").isNotNull()).join(sides, [key, "_cell"])
+    sought = F.filter(F.array("_b", "_a", "_left", "_right"), lambda p: p.isNotNull())
+    best = F.array_min(F.transform(sought, lambda p: F.struct(F.abs(F.col("_at") - p["v"]).alias("d"), p["i"].alias("i"))))
+    found = found.withColumn("_best", best).filter(F.col("_best").isNotNull())
+    return found.select("_row.*", F.col("_best.i").alias(right_id), F.col("_best.d").alias("distance"))
+
+
+def phrase_blocks(phrases: DataFrame, phrase: str, most: int) -> Iterator[list[str]]:
+    """The distinct phrases that aren't empty, about ``most`` characters at a time."""
+    held, size = [], 0
+    for row in phrases.select(phrase).filter(F.length(phrase) > 0).distinct().toLocalIterator():
+        if held and size + len(row[0]) > most:
+            yield held
+            held, size = [], 0
+        held.append(row[0])
+        size += len(row[0])
+    if held:
+        yield held
+
+
+def contain_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, most: int = BLOCK_CHARS) -> DataFrame:
+    """Texts with the phrases they contain; empty phrases and nulls match nothing.
+
+    The phrases go to the tasks in blocks of at most ``most`` characters, each as
+    one automaton that reads every text once, so the work grows with the length of
+    the texts and not with texts times phrases; what is found joins the phrases'
+    own rows. Texts aren't shuffled.
     """
-    if is_small(phrases):
-        return texts.join(F.broadcast(phrases), F.col(text).contains(F.col(phrase)))
-    short = phrases.filter(F.length(phrase) < grams)
-    long = phrases.filter(F.length(phrase) >= grams).withColumn("_g", F.substring(phrase, 1, grams))
-    places = F.expr(f"transform(sequence(1, greatest(length(`{text}`) - {grams - 1}, 1)), i -> substring(`{text}`, i, {grams}))")
-    cut = texts.withColumn("_g", F.explode(F.array_distinct(places)))
-    by_gram = cut.join(long, "_g").filter(F.col(text).contains(F.col(phrase))).drop("_g")
-    return by_gram.unionByName(texts.join(short, F.col(text).contains(F.col(phrase))))
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in texts.dtypes)}, _found string"
+    result = texts.withColumn("_found", F.lit(None).cast("string")).limit(0)
+    columns = texts.columns
+    for block in phrase_blocks(phrases, phrase, most):
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for p in shared.value:
+                automaton.add_word(p, p)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for k, t in enumerate(batch.column(text)):
+                    here = {p for _, p in automaton.iter(t.as_py())} if t.is_valid else ()
+                    rows += [k] * len(here)
+                    found += sorted(here)
+                some = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.string())], [*columns, "_found"])
+
+        result = result.unionByName(texts.mapInArrow(run, schema))
+    return result.join(phrases, F.col("_found") == F.col(phrase)).drop("_found")
 
 
 def first_pattern(df: DataFrame, column: Column, patterns: Sequence[tuple[str, str]], out: str) -> DataFrame:

@@ -32,6 +32,11 @@ def last_events(events: DataFrame) -> DataFrame:
     return events.groupBy("review_id").agg(F.max_by(rest, "seq").alias("_e")).select("review_id", "_e.*")
 
 
+def unknown_events(baseline: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of reviews that the ledger doesn't have; a sound log has none."""
+    return events.join(baseline.select("review_id").distinct(), "review_id", "left_anti")
+
+
 def replay(baseline: DataFrame, events: DataFrame) -> DataFrame:
     """The ledger after its events, always from the baseline, so replays agree.
 
@@ -40,9 +45,13 @@ def replay(baseline: DataFrame, events: DataFrame) -> DataFrame:
     ``actual_snapshot`` beside the ledger's columns. Actions: keep, supply and
     resolve (set the expected lane), confirm (a difference, bound to both
     snapshots), exclude. An event on a changed target is kept but has no effect.
+    Events of unknown reviews raise when the ledger is read.
     """
+    lost = unknown_events(baseline, events).agg(F.count(F.lit(1)).alias("_lost"), F.min("review_id").alias("_example"))
+    failed = F.raise_error(F.concat(F.lit("events of unknown reviews, such as "), F.col("_example")))
+    checked = lost.select(F.when(F.col("_lost") > 0, failed).otherwise(F.lit(0)).alias("_checked"))  # one row
     e = last_events(events).select("review_id", *(F.col(c).alias(f"e_{c}") for c in ("action", "expected_set", "evidence", "target_snapshot", "actual_snapshot", "gates")))
-    rows = baseline.join(e, "review_id", "left")
+    rows = baseline.join(e, "review_id", "left").join(F.broadcast(checked), F.col("_checked") == 0).drop("_checked")
     action, target = F.col("e_action"), F.col("e_target_snapshot") == F.col("target_snapshot")
     excluded = F.col("state").isin(*ledger.EXCLUDED)
     status = (
@@ -116,25 +125,38 @@ def library_states(evidence: DataFrame, approvals: DataFrame) -> DataFrame:
     return rows.select("glyph_id", F.col("resolved").alias("reading"), "first_id", "second_id", state.alias("state"))
 
 
-def independent_sources(evidence: DataFrame, most: int = 64) -> DataFrame:
-    """How many sources of a glyph differ pairwise in project, file and font: an exact search.
+def independent_sources(evidence: DataFrame, most: int = 64, steps: int = 200_000) -> DataFrame:
+    """How many sources of a glyph differ pairwise in project, file and font.
 
-    A glyph with more than ``most`` distinct sources raises: the search is exponential.
+    ``independent`` is the greatest number, found by a search that gives up where no
+    more can be gained; a glyph above ``most`` distinct sources, or one whose search
+    takes more than ``steps``, has the best number found and ``decided`` false.
     """
-    sources = evidence.select("glyph_id", "project_id", "pdf_sha256", "font_sha256").distinct()
+    axes = ["project_id", "pdf_sha256", "font_sha256"]
+    sources = evidence.select("glyph_id", *axes).distinct()
+    # what is beyond `most` never meets in one task: the row rank is taken per glyph by a sort that spills
+    ranked = sources.withColumn("_k", F.row_number().over(Window.partitionBy("glyph_id").orderBy(*axes)))
+    kept = ranked.filter(F.col("_k") <= most + 1)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = list(frame[["project_id", "pdf_sha256", "font_sha256"]].itertuples(index=False, name=None))
-        if len(rows) > most:
-            raise ValueError(f"{len(rows)} sources of one glyph; the exact search takes {most}")
-
-        def best(at: int, used: tuple[frozenset, ...]) -> int:
-            if at == len(rows):
-                return 0
-            free = all(v not in u for v, u in zip(rows[at], used, strict=True))
-            taken = 1 + best(at + 1, tuple(u | {v} for v, u in zip(rows[at], used, strict=True))) if free else 0
-            return taken if taken == len(rows) - at else max(taken, best(at + 1, used))
-
-        return pd.DataFrame([(frame["glyph_id"].iloc[0], best(0, (frozenset(),) * 3))], columns=["glyph_id", "independent"])
-
-    return sources.groupBy("glyph_id").applyInPandas(search, "glyph_id string, independent int")
+        rows = list(frame.sort_values(axes)[axes].itertuples(index=False, name=None))
+        over, rows = len(rows) > most, rows[:most]
+        best, left = 0, steps
+
+        def go(at: int, taken: int, used: tuple[frozenset, ...]) -> None:
+            nonlocal best, left
+            best, left = max(best, taken), left - 1
+            free = [r for r in rows[at:] if all(v not in u for v, u in zip(r, used, strict=True))]
+            bound = min((len(set(c)) for c in zip(*free, strict=True)), default=0)
+            if left <= 0 or taken + bound <= best:
+                return
+            for k in range(at, len(rows)):
+                if all(v not in u for v, u in zip(rows[k], used, strict=True)):
+                    go(k + 1, taken + 1, tuple(u | {v} for v, u in zip(rows[k], used, strict=True)))
+                    if left <= 0:
+                        return
+
+        go(0, 0, (frozenset(),) * 3)
+        return pd.DataFrame([(frame["glyph_id"].iloc[0], best, not over and left > 0)], columns=["glyph_id", "independent", "decided"])
+
+    return kept.groupBy("glyph_id").applyInPandas(search, "glyph_id string, independent int, decided boolean")
