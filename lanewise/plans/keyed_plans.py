@@ -193,11 +193,13 @@ p AS (SELECT fold, count(*) AS n, count(*) FILTER (quality = 1) AS predicted, co
 SELECT fold, n, predicted, round(CAST(right_ones AS DOUBLE) / nullif(predicted, 0), 6) AS precision_, round(CAST(predicted AS DOUBLE) / n, 6) AS coverage FROM p""")
 def kfold_split_metrics(spark: SparkSession, d: str) -> DataFrame:
     labels = read(spark, d, "labels", "doc_id", "quality", "toxic")
-    # the global rank: counts per range of ids, then ranks inside each range
-    span = F.floor(F.col("doc_id") / 1024)
-    cells = labels.groupBy(span.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
-    before = cells.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    ranked = labels.withColumn("cell", span).join(before, "cell")
+    # the global rank: rows before a block of ranges, before a range in its block, and before a row in its range
+    span, block = F.floor(F.col("doc_id") / 1024), F.floor(F.col("doc_id") / (1024 * 65_536))
+    cells = labels.groupBy(block.alias("block"), span.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    blocks = cells.groupBy("block").agg(F.sum("c").alias("b"))  # one row for 67 million ids
+    earlier = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = cells.withColumn("inner", earlier(("c", Window.partitionBy("block").orderBy("cell")))).join(blocks.select("block", earlier(("b", Window.orderBy("block"))).alias("outer")), "block")
+    ranked = labels.withColumn("cell", span).join(bases.select("cell", (F.col("inner") + F.col("outer")).alias("base")), "cell")
     ranked = ranked.withColumn("fold", (F.col("base") + F.row_number().over(Window.partitionBy("cell").orderBy("doc_id")) - 1) % 5)
     found = ranked.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("predicted"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("k"))
     return found.select("fold", "n", "predicted", F.round(F.try_divide(F.col("k").cast("double"), F.col("predicted").cast("double")), 6).alias("precision_"), F.round(F.col("predicted").cast("double") / F.col("n"), 6).alias("coverage"))

@@ -54,7 +54,7 @@ def nearest_neighbor(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, substr(text, 1, 40) AS head FROM benchmark) ON contains(text, head)""")
+SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)""")
 def containment_join(spark: SparkSession, d: str) -> DataFrame:
     phrases = read(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
     return matching.contain_join(read(spark, d, "documents", "doc_id", "text"), "text", phrases, "phrase").select("doc_id", "item_id")
