@@ -5,11 +5,15 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Pairs of places up to which two texts are compared as one matrix.
+MATRIX_CELLS = 8 << 20
+
 
 def neighbourhood(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, radius: int, out: str) -> DataFrame:
     """Values of the rows around each row, joined, with the row's own offset among them."""
@@ -43,10 +47,45 @@ def overlap_groups(df: DataFrame, keys: Sequence[str], low: str, high: str, tie:
     return opened.withColumn(out, F.last("_new", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def matched(a: str, b: str, cells: int = MATRIX_CELLS) -> int:
+    """How many characters the matching blocks of two texts hold.
+
+    The longest common run, first in ``a`` and then in ``b`` of equals, and so on to
+    both of its sides. The length of the run that ends at each pair of places is
+    worked out once as a matrix; inside a part of it a run can't be longer than the
+    way to the part's edge. Texts too long for a matrix are left to difflib, which
+    finds the same blocks.
+    """
+    if len(a) * len(b) > cells or max(len(a), len(b)) > 32_000:
+        return sum(size for _, _, size in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    runs, way = np.zeros((len(x) + 1, len(y) + 1), np.int16), np.arange(1, max(len(x), len(y)) + 1, dtype=np.int16)
+    for i, same in enumerate(x[:, None] == y):
+        np.multiply(runs[i, :-1] + 1, same, out=runs[i + 1, 1:])
+    runs = runs[1:, 1:]
+    total, parts = 0, [(0, len(x), 0, len(y))]
+    while parts:
+        a0, a1, b0, b1 = parts.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        part = runs[a0:a1, b0:b1]
+        if a0:
+            part = np.minimum(part, way[: a1 - a0, None])
+        if b0:
+            part = np.minimum(part, way[: b1 - b0])
+        at = int(part.argmax())
+        i, j = divmod(at, b1 - b0)
+        size = int(part[i, j])
+        if size:
+            total += size
+            parts += [(a0, a0 + i + 1 - size, b0, b0 + j + 1 - size), (a0 + i + 1, a1, b0 + j + 1, b1)]
+    return total
+
+
 def ratio(a: str | None, b: str | None) -> float:
     """Longest-matching-block similarity of two texts; two empty ones are alike."""
     a, b = a or "", b or ""
-    return 1.0 if not a and not b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 @F.pandas_udf(DoubleType())

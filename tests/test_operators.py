@@ -76,13 +76,27 @@ def test_nearest_join_crosses_empty_cells(spark):
     assert got == [(1, 4, 400.0), (2, 6, 10.0)]
 
 
-def test_contain_join_both_ways(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "nothing"), (3, None)], "i int, t string")
-    phrases = spark.createDataFrame([(1, "quick brown fox"), (2, "thing")], "p int, phrase string")
-    wanted = [(1, 1), (2, 2)]
-    assert sorted((r.i, r.p) for r in matching.contain_join(texts, "t", phrases, "phrase").collect()) == wanted
-    monkeypatch.setattr(matching, "is_small", lambda df, most=0: False)
-    assert sorted((r.i, r.p) for r in matching.contain_join(texts, "t", phrases, "phrase").collect()) == wanted
+def test_contain_join_block_by_block(spark):
+    texts = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "nothing thing"), (3, None), (4, ""), (2, "nothing thing")], "i int, t string")
+    phrases = spark.createDataFrame([(1, "quick brown fox"), (2, "thing"), (3, "thing"), (4, ""), (5, None), (6, "ing t")], "p int, phrase string")
+    wanted = [(1, 1), (2, 2), (2, 2), (2, 3), (2, 3), (2, 6), (2, 6)]
+    for most in (1 << 20, 6):
+        assert sorted((r.i, r.p) for r in matching.contain_join(texts, "t", phrases, "phrase", most).collect()) == wanted
+    assert matching.contain_join(texts, "t", phrases.limit(0), "phrase").count() == 0
+
+
+def test_ratio_is_that_of_difflib(monkeypatch):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    for k in range(600):
+        letters = rng.choice(["ab", "abcd", "abcdefghij \u00e9\u4e2d\U0001f642"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, rng.choice([1, 8, 60])))) for _ in "ab")
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 1.0
+        assert sequence.ratio(a, b) == want
+        assert 2 * sequence.matched(a, b, cells=0) == round(want * (len(a) + len(b))) or not (a or b)
+    assert sequence.ratio(None, "") == 1.0 and sequence.ratio(None, "x") == 0.0
 
 
 def test_reconcile_and_merge(spark):
