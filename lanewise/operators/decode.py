@@ -110,6 +110,49 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.withColumn("basis", F.when(F.col("_r").isNotNull(), "override").otherwise(F.col("basis"))).withColumn("actual", F.coalesce("_r", "actual")).drop("_r")
 
 
+def override_characters(rows: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Characters that a place override corrects; the one in the text layer is kept as ``original_char``.
+
+    ``overrides``: ``pdf_sha256, page, char, x0, y0, corrected_char, stable_key, file_order``.
+    """
+    hit = near_place(rows, overrides, NEAR, ["pdf_sha256", "page", "char"]).select("occurrence_id", F.col("corrected_char").alias("_c"))
+    out = rows.join(hit, "occurrence_id", "left").withColumn("original_char", F.when(F.col("_c").isNotNull(), F.col("char")))
+    return out.withColumn("char", F.coalesce("_c", "char")).drop("_c")
+
+
+def override_contexts(rows: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Lines and positions that a place override repairs, marked by ``context_repaired``.
+
+    The first override within the tolerance counts; it is ignored if its own position
+    doesn't hold the row's character. ``overrides``: ``pdf_sha256, page, char, x0, y0,
+    context_text, target_index, stable_key, file_order``.
+    """
+    hit = near_place(rows, overrides, NEAR_CONTEXT, ["pdf_sha256", "page", "char"]).select("occurrence_id", F.col("context_text").alias("_t"), F.col("target_index").alias("_i"))
+    out = rows.join(hit, "occurrence_id", "left")
+    good = F.coalesce((F.col("_i") >= 0) & (F.substring("_t", F.col("_i") + 1, F.lit(1)) == F.col("char")), F.lit(False))
+    out = out.withColumn("context_repaired", good)
+    return out.withColumns({"line": F.when(good, F.col("_t")).otherwise(F.col("line")), "pos": F.when(good, F.col("_i")).otherwise(F.col("pos"))}).drop("_t", "_i")
+
+
+def located_blocks(rows: DataFrame, chars: DataFrame, near_tie: float = 1.0) -> DataFrame:
+    """The text block of each row: that of the nearest equal character on the page.
+
+    Distances are dx² + 4 dy² of the centres. Characters at most ``near_tie`` beyond the
+    nearest are as near; of these the one in the longest block is taken, then the nearer,
+    then the first. ``rows``: ``occurrence_id, pdf_sha256, page, char, cx, cy`` and, if a
+    character was corrected, ``original_char``; ``chars``: ``pdf_sha256, page, char, cx, cy,
+    block_no, char_no, text``. Rows meet the characters of one page only.
+    """
+    sought = F.coalesce("original_char", "char") if "original_char" in rows.columns else F.col("char")
+    own = rows.select("occurrence_id", "pdf_sha256", "page", sought.alias("char"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
+    d = F.pow(F.col("cx") - F.col("_x"), 2) + 4 * F.pow(F.col("cy") - F.col("_y"), 2)
+    near = own.join(chars, ["pdf_sha256", "page", "char"]).withColumn("d", d)
+    best = near.groupBy("occurrence_id").agg(F.min("d").alias("_best"))
+    tied = near.join(best, "occurrence_id").filter(F.col("d") <= F.col("_best") + near_tie)
+    first = F.min(F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("n"), "d", "block_no", "char_no", "text"))
+    return tied.groupBy("occurrence_id").agg(first.alias("_b")).select("occurrence_id", "_b.block_no", "_b.char_no", "_b.text", F.col("_b.d").alias("distance"))
+
+
 def split_excluded(rows: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows to keep, and those at an excluded structure, each in its own table."""
     keys = ["pdf_sha256", "page", "char", "font_xref", "font", "glyph_id", "component_id"]
