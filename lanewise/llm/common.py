@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Used only where a local session names no ``spark.checkpoint.dir`` (tests).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: Rows of an Arrow batch: a row may be a whole document, so fewer than Spark's default of 10,000.
+BATCH_ROWS = 1_000
 #: Keys that hold more than one row in so many are hot: there are fewer of them than this.
 HOT_SHARE = 1_024
 
@@ -36,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or DEFAULT_SHARED_DIR
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, unless the session says how much that is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
@@ -48,6 +57,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/lanewise/{label}-{uuid.uuid4().hex}"
         self.marked = False
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema

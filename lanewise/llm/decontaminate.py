@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, worker_cache
+from .common import Workspace, small_batches, table, worker_cache
 
 ERROR_RATE = 0.05
 SHORT_CHARS = 25
@@ -153,6 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     below ``SHORT_CHARS`` characters.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     schema = "doc_id long, item_id long, distance int, end_char long, short boolean"
     source = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     result = spark.createDataFrame([], schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import small_batches, table, worker_cache
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -207,6 +207,7 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
 def predictions(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """Every row of ``docs`` as ``row``, a struct of ``columns``, with ``lang_pred, score, rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*columns).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
