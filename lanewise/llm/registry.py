@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embdedup, langid, oracles, packing, secretscan, simhash, substring, sufdedup, tokencount, urlfilter, warc
+from . import decontaminate, divergence, embdedup, langid, oracles, packing, secretscan, simhash, substring, sufdedup, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": substring.op8_substring,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filters": urlfilter.op10_url_filters,
+    "op11_divergence": divergence.op11_divergence,
     "op12_secrets": secretscan.op12_secrets,
 }
 
@@ -27,5 +28,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
     "op8_substring": oracles.OP8_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
     "op12_secrets": secretscan.OP12_SQL,
 }
