@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, embdedup, langid, oracles, packing, secretscan, simhash, substring, sufdedup, tokencount, urlfilter, warc
+from . import decontaminate, divergence, embdedup, langid, manifest, oracles, packing, secretscan, simhash, substring, sufdedup, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": urlfilter.op10_url_filters,
     "op11_divergence": divergence.op11_divergence,
     "op12_secrets": secretscan.op12_secrets,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op10_url_filters": urlfilter.OP10_SQL,
     "op11_divergence": divergence.OP11_SQL,
     "op12_secrets": secretscan.OP12_SQL,
+    "op13_manifest": manifest.OP13_SQL,
 }
