@@ -58,8 +58,8 @@ def terms(text: bytes) -> list[bytes]:
 _COUNTED = "lang string, source string, term binary, n long, docs long"
 
 
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term; a row without a term counts the group's documents."""
+def count_terms(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of each term, sent when ``most`` bytes are held; a row without a term counts the group's documents."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     groups: Counter = Counter()
     size = 0
@@ -83,7 +83,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += sum(len(w) + _ENTRY for w in counted if w not in n)
             n.update(counted)
             docs.update(counted.keys())
-            if size > HELD_BYTES:
+            if size > most:
                 yield from flush()
     yield from flush()
     if groups:
@@ -221,7 +221,8 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = TOP_TERMS)
     """``lang, source, part, item, value, rank``; ``part`` is ``pair`` or ``term``."""
     ws = Workspace(docs.sparkSession, "divergence")
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counted = ws.write(rows.mapInArrow(count_terms, _COUNTED), "counted")
+    most = HELD_BYTES
+    counted = ws.write(rows.mapInArrow(lambda batches: count_terms(batches, most), _COUNTED), "counted")
     postings = ws.write(kept_postings(counted, min_docs), "postings")
     facts = ws.write(group_facts(counted, postings), "facts")
     ws.drop("counted")

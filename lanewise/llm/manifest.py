@@ -132,18 +132,17 @@ def _ancestor(level: int) -> Column:
     return F.expr(f"idx div cast(pow({FANOUT}, {level} - level) as bigint)")
 
 
-def merged(rows: pa.Table) -> pa.RecordBatch | None:
-    """Nodes above unfinished peaks; the rows of one ``anc`` of a tree are together."""
+def merged(rows: pa.Table, base: int, block: int) -> pa.RecordBatch | None:
+    """Nodes above unfinished peaks of ``block`` levels; the rows of one ``anc`` of a tree are together."""
     groups: dict[tuple, dict[tuple[int, int], str]] = defaultdict(dict)
     totals: dict[str | None, int] = {}
     for tree, total, anc, level, idx, digest in zip(*(rows.column(c).to_pylist() for c in ("tree", "total", "anc", "level", "idx", "digest")), strict=True):
         groups[tree, anc][level, idx] = digest
         totals[tree] = total
-    top = rows.column("upto")[0].as_py()
-    records = []
+    top, records = base + block, []
     for (tree, _), nodes in groups.items():
         wide = widths(totals[tree])
-        for level in range(top - BLOCK, min(top, len(wide) - 1)):
+        for level in range(base, min(top, len(wide) - 1)):
             runs = defaultdict(list)
             for _, idx in sorted(k for k in nodes if k[0] == level):
                 runs[idx // FANOUT].append(nodes[level, idx])
@@ -176,13 +175,14 @@ def build(ws: Workspace, leaves: DataFrame, order: list[str], name: str) -> tupl
 
     levels = len(widths(most)) if most else 0
     every, peaks = nodes, nodes.filter("pending")
-    carried = None
-    for base in range(0, levels, BLOCK):
-        here = peaks.filter(f"level >= {base} AND level < {base + BLOCK}")
+    carried, block = None, BLOCK
+    for base in range(0, levels, block):
+        here = peaks.filter(f"level >= {base} AND level < {base + block}")
         if carried is not None:
             here = here.unionByName(carried)
-        here = here.withColumn("anc", _ancestor(base + BLOCK)).withColumn("upto", F.lit(base + BLOCK)).withColumn("key", F.xxhash64("tree", "anc"))
-        made = ws.write(by_group(here.select("key", "tree", "total", "anc", "level", "idx", "digest", "upto"), "key", ["level", "idx"], merged, _NODE), f"{name}-nodes{base + 1}")
+        here = here.withColumn("anc", _ancestor(base + block)).withColumn("key", F.xxhash64("tree", "anc"))
+        here = here.select("key", "tree", "total", "anc", "level", "idx", "digest")
+        made = ws.write(by_group(here, "key", ["level", "idx"], lambda rows, base=base: merged(rows, base, block), _NODE), f"{name}-nodes{base + 1}")
         every, carried = every.unionByName(made), made.filter("pending")
     return every, levels
 
@@ -196,7 +196,7 @@ def roots(nodes: DataFrame) -> DataFrame:
 _ABOVE = "tree string, idx long, siblings string, shape string, subroot string, root string"
 
 
-def _paths(rows: pa.Table, base: int) -> Iterator[tuple]:
+def _paths(rows: pa.Table, base: int, block: int) -> Iterator[tuple]:
     """``(tree, idx, digest, siblings, shape, subroot, root, doc_id, other)`` of the nodes at ``base``.
 
     ``siblings`` are the other members of each run up to the root, lowest first;
@@ -213,7 +213,7 @@ def _paths(rows: pa.Table, base: int) -> Iterator[tuple]:
     for (tree, anc), levels in nodes.items():
         *path, subroot, root = above[tree, anc]
         total = next(iter(levels[base].values()))[0]
-        top = min(base + BLOCK, len(widths(total)) - 1)
+        top = min(base + block, len(widths(total)) - 1)
         known = {anc: tuple(path)}
         for level in range(top - 1, base - 1, -1):
             members, here = levels[level], {}
@@ -246,21 +246,20 @@ def prove(ws: Workspace, nodes: DataFrame, levels: int, outer: DataFrame, name:
     height = nodes.select("tree", "total").filter("total IS NOT NULL").distinct().join(outer.withColumnRenamed("tree", "t"), F.col("tree").eqNullSafe(F.col("t"))).drop("t")
     height = ws.write(height, f"{name}-outer")
     blank = lambda df, *kinds: df.withColumns({c: F.lit(None).cast(k) for c, k in kinds})
-    passed = None
-    top = max(levels - 1, 0) // BLOCK * BLOCK
-    for base in range(top, -1, -BLOCK):
-        # a tree enters at the block that holds its root: at most FANOUT ** (base + BLOCK - 1) leaves, and more than the block below takes
+    passed, block = None, BLOCK
+    for base in range(max(levels - 1, 0) // block * block, -1, -block):
+        # a tree enters at the block that holds its root: at most FANOUT ** (base + block - 1) leaves, and more than the block below takes
         least = FANOUT ** (base - 1) if base else 0
-        above = height.filter(f"total > {least} AND total <= {FANOUT ** (base + BLOCK - 1)}").select("tree", F.lit(0).cast("long").alias("anc"), "siblings", "shape", "subroot", "root")
+        above = height.filter(f"total > {least} AND total <= {FANOUT ** (base + block - 1)}").select("tree", F.lit(0).cast("long").alias("anc"), "siblings", "shape", "subroot", "root")
         if passed is not None:
             above = above.unionByName(passed.withColumnRenamed("idx", "anc"))
-        here = nodes.filter(f"level >= {base} AND level < {base + BLOCK}").withColumn("anc", _ancestor(base + BLOCK)).drop("pending")
+        here = nodes.filter(f"level >= {base} AND level < {base + block}").withColumn("anc", _ancestor(base + block)).drop("pending")
         here = blank(here, *((c, "string") for c in ("siblings", "shape", "subroot", "root")))
         both = here.unionByName(blank(above, ("total", "long"), ("level", "int"), ("idx", "long"), ("digest", "string"), ("doc_id", "long"), ("other", "string")))
         both = both.withColumn("key", F.xxhash64("tree", "anc"))
         if not base:
-            return by_group(both, "key", ["level", "idx"], lambda rows: finish(_paths(rows, 0)), schema)
-        passed = ws.write(by_group(both, "key", ["level", "idx"], lambda rows, base=base: _passed(_paths(rows, base)), _ABOVE), f"{name}-above{base}")
+            return by_group(both, "key", ["level", "idx"], lambda rows: finish(_paths(rows, 0, block)), schema)
+        passed = ws.write(by_group(both, "key", ["level", "idx"], lambda rows, base=base: _passed(_paths(rows, base, block)), _ABOVE), f"{name}-above{base}")
     return passed
 
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from lanewise.llm import decontaminate, langid, registry, urlfilter
 
+from .brute import divergence_rows, manifest_rows, secret_rows
 from .test_llm import best_fit, brute_bytes, brute_print, brute_rule, components, edit_distance_inside, words
 
 SCHEMAS = {
@@ -26,6 +27,9 @@ SCHEMAS = {
     "op8_substring": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op9_decontaminate": "doc_id bigint, item_id bigint, distance int, end_char bigint, short boolean",
     "op10_url_filters": "page_id bigint, host string, path string, rule string, verdict string",
+    "op11_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op12_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_live bigint, n_example bigint",
+    "op13_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
 
 
@@ -195,3 +199,23 @@ def test_op10(run, pages):
         host, path, rule = brute_rule(url, urlfilter.RULES)
         want.append((i, host, path, rule.text if rule else None, rule.verdict if rule else "allow"))
     assert sorted(run("op10_url_filters")) == want
+
+
+def document_rows(texts):
+    return [(i, t, None if i % 7 == 0 else ("en", "de")[i % 2], "src", len(t or "")) for i, t in texts]
+
+
+def test_op11(run, texts):
+    want = divergence_rows([(lang, source, t) for _, t, lang, source, _ in document_rows(texts)], 30, 50)
+    assert sorted(run("op11_divergence")) == sorted(want)
+
+
+def test_op12(run, texts):
+    assert sorted(run("op12_secrets")) == sorted(secret_rows([(i, t, source, f"{source}/{lang or ''}") for i, t, lang, source, _ in document_rows(texts)]))
+
+
+def test_op13(run, texts):
+    rows = [(i, source, lang, n, t) for i, t, lang, source, n in document_rows(texts)]
+    now = {i: t.replace("\n", "") for i, t in texts if t and zlib.crc32(str(i).encode()) % 2 == 0}
+    want = manifest_rows(rows, now)
+    assert sorted(run("op13_manifest")) == sorted(want) and any(not r[-1] for r in want)
