@@ -44,7 +44,7 @@ SMOOTHING = 5
 STEPS = 4
 FIRST_BUCKETS = 8
 #: Terms gathered before a task sends them, in bytes with what an entry costs.
-HELD_BYTES = 96 << 20
+HELD_BYTES = 160 << 20
 _ENTRY = 220
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
