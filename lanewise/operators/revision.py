@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .sequence import ratio
+from .components import cut
+from .sequence import greedy, ratio
 
 # Least similarity by label and by content.
 BY_LABEL, BY_CONTENT = 0.35, 0.72
@@ -34,33 +35,60 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _tokens(pages: DataFrame) -> DataFrame:
+    """``text, n, tokens``: each distinct text's characters, repeats told apart by their number."""
+    texts = pages.select("text").distinct().withColumn("_c", F.expr("transform(sequence(1, length(text)), i -> substring(text, i, 1))"))
+    each = texts.select("text", F.posexplode("_c").alias("_at", "c")).groupBy("text", "c").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    each = each.withColumn("token", F.explode(F.expr("transform(sequence(1, m), k -> concat(c, cast(k as string)))")))
+    return each.select("text", "token")
+
+
+def close_texts(old: DataFrame, new: DataFrame, least: float = BY_CONTENT) -> DataFrame:
+    """``a, b, score`` of all pairs of different sides' texts whose similarity reaches ``least``.
+
+    Similarity is at most 2 * shared / (n + m) over shared characters with repeats. So
+    partners of n characters share at least a fixed part of the n with it, and hence one
+    of the first n - part + 1 in any common order; with rare characters first few texts
+    meet there. Pairs that meet are counted whole against the bound before any is
+    aligned. Nothing is lost, and texts are fetched only for what is left.
+    """
+    sides = [cut(_tokens(p.filter("text <> ''"))) for p in (old, new)]
+    rare = sides[0].unionByName(sides[1]).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # with m partners' characters, least * (n + m) / 2 are shared, and m >= least * n / (2 - least)
+    part = F.ceil(F.col("n") * (least / (2 - least)) - 1e-9)
+    ranked = []
+    for tokens, name in zip(sides, "ab", strict=True):
+        listed = tokens.join(rare, "token").groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+        listed = listed.withColumns({"n": F.size("tokens"), "id": F.sha2("text", 256)})
+        ranked.append(cut(listed.withColumnsRenamed({"text": name, "tokens": f"t{name}", "n": f"n{name}", "id": f"i{name}"})))
+    heads = []
+    for df, name in zip(ranked, "ab", strict=True):
+        n = F.col(f"n{name}").alias("n")
+        head = df.select(f"i{name}", f"n{name}", F.col(f"t{name}").alias("t"), n)
+        heads.append(head.select(f"i{name}", f"n{name}", F.explode(F.slice("t", F.lit(1), (F.col("n") - part + 1).cast("int"))).alias("token")))
+    enough = F.least("na", "nb") * 2 >= least * (F.col("na") + F.col("nb")) - 1e-9
+    met = heads[0].join(heads[1], "token").filter(enough).select("ia", "ib").distinct()
+    whole = met.join(ranked[0], "ia").join(ranked[1], "ib")
+    bound = F.size(F.array_intersect("ta", "tb")) * 2 >= least * (F.col("na") + F.col("nb")) - 1e-9
+    return whole.filter(bound).select("a", "b").withColumn("score", alike("a", "b")).filter(F.col("score") >= least)
+
+
 def pair(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old_number, new_number, score, how``: by labels that are unique on both sides, then by content.
 
-    Content pairs are sought only among pages that share a run of four characters;
-    the choice among scored pairs is greedy, best score first.
+    Content pairs are all pairs of pages left with a text, from ``BY_CONTENT`` on; the
+    best score is taken first, then the smaller difference of numbers, then the larger
+    old and the larger new number. Pages without text pair by label only.
     """
     once = lambda p, n: p.filter("coalesce(label, '') <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.min("number").alias(n), F.min("text").alias(f"{n}_text")).filter("c = 1").drop("c")
     labelled = once(old, "old_number").join(once(new, "new_number"), "label").withColumn("score", alike("old_number_text", "new_number_text")).filter(F.col("score") >= BY_LABEL)
-    labelled = labelled.select("old_number", "new_number", "score", F.lit("label").alias("how"))
-    grams = F.expr("array_distinct(transform(sequence(1, greatest(length(text) - 3, 1)), i -> substring(text, i, 4)))")
-    left = old.join(labelled.select(F.col("old_number").alias("number")), "number", "left_anti").select(F.col("number").alias("old_number"), F.col("text").alias("a"), F.explode(grams).alias("g"))
-    right = new.join(labelled.select(F.col("new_number").alias("number")), "number", "left_anti").select(F.col("number").alias("new_number"), F.col("text").alias("b"), F.explode(grams).alias("g"))
-    close = left.join(right, "g").select("old_number", "new_number", "a", "b").distinct().withColumn("score", alike("a", "b")).filter(F.col("score") >= BY_CONTENT)
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        used_old, used_new, rows = set(), set(), []
-        frame = frame.assign(gap=(frame.old_number - frame.new_number).abs()).sort_values(["score", "gap", "old_number", "new_number"], ascending=[False, True, True, True])
-        for r in frame.itertuples(index=False):
-            if r.old_number not in used_old and r.new_number not in used_new:
-                used_old.add(r.old_number)
-                used_new.add(r.new_number)
-                rows.append((r.old_number, r.new_number, r.score, "content"))
-        return pd.DataFrame(rows, columns=["old_number", "new_number", "score", "how"])
-
-    scored = close.select("old_number", "new_number", "score").withColumn("_all", F.lit(1))  # one edition's unlabelled pages: greedy is sequential
-    content = scored.groupBy("_all").applyInPandas(choose, "old_number long, new_number long, score double, how string")
-    return labelled.unionByName(content)
+    labelled = cut(labelled.select("old_number", "new_number", "score", F.lit("label").alias("how")))
+    left = old.join(labelled.select(F.col("old_number").alias("number")), "number", "left_anti").select(F.col("number").alias("old_number"), "text")
+    right = new.join(labelled.select(F.col("new_number").alias("number")), "number", "left_anti").select(F.col("number").alias("new_number"), "text")
+    close = close_texts(left, right)
+    scored = close.join(left.withColumnRenamed("text", "a"), "a").join(right.withColumnRenamed("text", "b"), "b").select("old_number", "new_number", "score")
+    content = greedy(scored, [], "old_number", "new_number", [F.col("score"), -F.abs(F.col("old_number") - F.col("new_number"))])
+    return labelled.unionByName(content.withColumn("how", F.lit("content")))
 
 
 def events(old: DataFrame, new: DataFrame, pairs: DataFrame, radius: int = 7) -> DataFrame:

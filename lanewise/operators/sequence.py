@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .components import cut
+
 #: Pairs of places up to which two texts are compared as one matrix.
 MATRIX_CELLS = 8 << 20
 
@@ -108,18 +110,59 @@ def opcodes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return pairs.select(key, left, right).mapInPandas(run, "key long, step int, kind string, left_from int, left_to int, right_from int, right_to int")
 
 
+#: Rounds of mutually best pairs before few enough leftovers are taken in their order by one task.
+GREEDY_ROUNDS = 12
+GREEDY_LEFT = 100_000
+
+
+def greedy(scored: DataFrame, keys: Sequence[str], left: str, right: str, better: Sequence[Column], rounds: int = GREEDY_ROUNDS) -> DataFrame:
+    """The pairs that taking the best first would choose, each side used once; ``scored``'s columns.
+
+    ``better`` orders pairs, larger first; with both sides after it no two are equal. A pair
+    that is the best of both its sides is in the sequential choice, whatever else is; each
+    round takes all of those at once and drops what they use. Ties in a row can make
+    rounds as long as the row: after ``rounds`` of them up to ``GREEDY_LEFT`` leftover
+    pairs are taken in order in one sorted pass, more of them in further rounds.
+    """
+    keys, names = list(keys), scored.columns
+    rest = cut(scored.withColumn("_o", F.struct(*better, left, right)).select(*names, "_o"))
+    taken, n = None, 0
+    while not rest.isEmpty():
+        if n >= rounds and rest.limit(GREEDY_LEFT + 1).count() <= GREEDY_LEFT:
+            last = _in_order(rest, keys, left, right).select(*names)
+            return last if taken is None else taken.select(*names).unionByName(last)
+        by_left = rest.groupBy(*keys, left).agg(F.max("_o").alias("_o"))
+        by_right = rest.groupBy(*keys, right).agg(F.max("_o").alias("_o"))
+        mutual = by_left.select(*keys, left, f"_o.{right}").join(by_right.select(*keys, f"_o.{left}", right), [*keys, left, right])
+        chosen = cut(rest.join(mutual, [*keys, left, right], "left_semi"))
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        for side in (left, right):
+            rest = rest.join(chosen.select(*keys, side), [*keys, side], "left_anti")
+        rest, n = cut(rest), n + 1
+    return (rest if taken is None else taken).select(*names)
+
+
+def _in_order(rest: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Few pairs, best first, in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: tuple[set, set] = set(), set()
+        for frame in frames:
+            own = [*zip(*(frame[k] for k in keys), strict=True)] if keys else [()] * len(frame)
+            marks = []
+            for key, a, b in zip(own, frame[left], frame[right], strict=True):
+                free = (key, a) not in used[0] and (key, b) not in used[1]
+                if free:
+                    used[0].add((key, a))
+                    used[1].add((key, b))
+                marks.append(free)
+            yield frame[marks]
+
+    flat = rest.orderBy(F.desc("_o")).drop("_o").coalesce(1)
+    return flat.mapInPandas(run, flat.schema)
+
+
 def greedy_pairs(scored: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
     """One-to-one pairs per group, best score first, ties by left and right."""
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, rows = set(), set(), []
-        ordered = frame[frame[score] >= least].sort_values([score, left, right], ascending=[False, True, True])
-        for row in ordered.itertuples(index=False):
-            a, b = getattr(row, left), getattr(row, right)
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                rows.append((getattr(row, group), a, b, getattr(row, score)))
-        return pd.DataFrame(rows, columns=["grp", "left_id", "right_id", "score"])
-
-    return scored.groupBy(group).applyInPandas(pick, "grp string, left_id long, right_id long, score double")
+    rows = scored.filter(F.col(score) >= least).select(F.col(group).alias("grp"), F.col(left).alias("left_id"), F.col(right).alias("right_id"), F.col(score).alias("score"))
+    return greedy(rows, ["grp"], "left_id", "right_id", [F.col("score"), -F.col("left_id"), -F.col("right_id")])
