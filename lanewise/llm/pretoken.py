@@ -36,8 +36,13 @@ from .common import worker_cache
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a cache's generation; two generations are held at most.
 GENERATION = 300_000
+#: Bytes of a generation's words and values, with what an entry costs.
+GENERATION_BYTES = 48 << 20
+_ENTRY = 100
+#: Longer words (whole texts, where no spaces are written) are coded anew each time.
+LONGEST = 128
 #: Words of one text that are looked up before the cache's size is checked.
-SLICE = 1 << 16
+SLICE = 1 << 14
 
 #: Whatever any library in use takes for white space.
 _SPACES = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -130,13 +135,15 @@ class _Generation(dict):
 
     def __init__(self, first: dict, before: dict, make: Callable[[str], object]):
         super().__init__(first)
-        self.before, self.make = before, make
+        self.before, self.make, self.size = before, make, 0
 
     def __missing__(self, word: str):
         value = self.before.get(word)
         if value is None:
             value = self.make(word)
-        self[word] = value
+        if len(word) <= LONGEST:
+            self[word] = value
+            self.size += sys.getsizeof(word) + sys.getsizeof(value) + _ENTRY
         return value
 
 
@@ -144,11 +151,12 @@ class Lookup:
     """The value of each word: a first tier that stays, then this worker's own finds.
 
     A full generation becomes the one before, and what is still in use moves on
-    from there; so frequent words survive, and two generations bound the memory.
+    from there; so frequent words survive, and two generations bound the memory, in
+    entries and in bytes.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], first: dict | None = None, most: int = GENERATION):
-        self.vocabulary, self.value, self.first, self.most = opened(path), value, first or {}, most
+    def __init__(self, path: str, value: Callable[[list[int]], object], first: dict | None = None, most: int = GENERATION, most_bytes: int = GENERATION_BYTES):
+        self.vocabulary, self.value, self.first, self.most, self.most_bytes = opened(path), value, first or {}, most, most_bytes
         self.held = _Generation(self.first, {}, self._make)
 
     def _make(self, word: str):
@@ -170,7 +178,7 @@ class Lookup:
         return join(parts)
 
     def _turn(self) -> None:
-        if len(self.held) > self.most + len(self.first):
+        if len(self.held) > self.most + len(self.first) or self.held.size > self.most_bytes:
             before = dict(self.held)
             self.held = _Generation(self.first, before, self._make)
 
