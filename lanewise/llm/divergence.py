@@ -44,7 +44,7 @@ SMOOTHING = 5
 STEPS = 4
 FIRST_BUCKETS = 8
 #: Terms gathered before a task sends them, in bytes with what an entry costs.
-HELD_BYTES = 160 << 20
+HELD_BYTES = 128 << 20
 _ENTRY = 220
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -125,7 +125,7 @@ def term_uses(postings: DataFrame, facts: DataFrame) -> DataFrame:
     each = postings.select("lang", "term", "lang_n", F.explode("uses").alias("u")).select("lang", "term", "lang_n", "u.source", "u.n")
     each = each.join(facts, ["lang", "source"])
     p, q = _rate(F.col("n"), F.col("total"), F.col("kept")), _rate(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-    return each.select("lang", "source", "term", "n", p.alias("p"), q.alias("q"), bucket_of(F.col("n")).alias("bucket"))
+    return each.select("lang", "source", "term", "n", p.alias("p"), q.alias("q"), "p0", bucket_of(F.col("n")).alias("bucket"))
 
 
 def _rank() -> Column:
@@ -164,21 +164,20 @@ def top_terms(ws: Workspace, uses: DataFrame, k: int = TOP_TERMS) -> DataFrame:
 POSTING_BLOCK = 256
 
 
-def shared_terms(postings: DataFrame, facts: DataFrame) -> DataFrame:
+def shared_terms(uses: DataFrame) -> DataFrame:
     """``lang, a, b, both, excess`` for pairs of sources (a < b) that share kept terms.
 
-    ``excess`` corrects what :func:`lone_sums` says of the shared terms. Long posting
-    lists are cut into blocks that are paired in tasks of their own.
+    ``excess`` corrects what :func:`lone_sums` says of the shared terms. Posting lists carry
+    their rates; long ones are cut into blocks that are paired in tasks of their own.
     """
+    lists = uses.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("uses")).filter("size(uses) > 1")
     cut = f"transform(sequence(0, (size(uses) - 1) div {POSTING_BLOCK}), i -> slice(uses, i * {POSTING_BLOCK} + 1, {POSTING_BLOCK}))"
-    blocks = postings.select("lang", "term", F.expr(cut).alias("c"))
-    units = blocks.select("lang", "term", F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 1, size(c)), (y, j) -> struct(x, y, j = 0 AS own))))")).alias("u"))
-    units = units.repartition(shuffle_width(postings.sparkSession), F.xxhash64("lang", "term"), F.xxhash64("u.x", "u.y"))
+    blocks = lists.select("lang", "term", F.expr(cut).alias("c"))
+    units = blocks.select("lang", "term", F.size("c").alias("blocks"), F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, i + 1, size(c)), (y, j) -> struct(x, y, j = 0 AS own))))")).alias("u"))
+    spread = units.filter("blocks > 1").repartition(shuffle_width(uses.sparkSession), F.xxhash64("lang", "term"), F.xxhash64("u.x", "u.y"))
+    units = units.filter("blocks = 1").unionByName(spread)
     pairs = units.select("lang", F.explode(F.expr("flatten(transform(u.x, x -> transform(filter(u.y, y -> NOT u.own OR x.source < y.source), y -> if(x.source < y.source, struct(x AS a, y AS b), struct(y AS a, x AS b)))))")).alias("p"))
-    pairs = pairs.select("lang", F.col("p.a.source").alias("a"), F.col("p.a.n").alias("an"), F.col("p.b.source").alias("b"), F.col("p.b.n").alias("bn"))
-    for side in "ab":
-        own = facts.select("lang", F.col("source").alias(side), F.col("total").alias(f"{side}_total"), F.col("kept").alias(f"{side}_kept"), F.col("p0").alias(f"{side}0"))
-        pairs = pairs.join(own, ["lang", side]).withColumn(f"{side}p", _rate(F.col(f"{side}n"), F.col(f"{side}_total"), F.col(f"{side}_kept"))).drop(f"{side}_total", f"{side}_kept")
+    pairs = pairs.select("lang", F.col("p.a.source").alias("a"), F.col("p.b.source").alias("b"), F.col("p.a.p").alias("ap"), F.col("p.b.p").alias("bp"), F.col("p.a.p0").alias("a0"), F.col("p.b.p0").alias("b0"))
     excess = F.abs(F.col("ap") - F.col("bp")) - F.abs(F.col("ap") - F.col("b0")) - F.abs(F.col("bp") - F.col("a0"))
     return pairs.groupBy("lang", "a", "b").agg(F.count(F.lit(1)).alias("both"), F.sum(excess).alias("excess"))
 
@@ -200,10 +199,10 @@ def lone_sums(uses: DataFrame, facts: DataFrame) -> DataFrame:
     return swept.filter("item IS NOT NULL").select("lang", "source", "item", F.coalesce(lone, F.lit(0).cast("long")).alias("lone"))
 
 
-def pair_distances(ws: Workspace, postings: DataFrame, uses: DataFrame, facts: DataFrame) -> DataFrame:
+def pair_distances(ws: Workspace, uses: DataFrame, facts: DataFrame) -> DataFrame:
     """``lang, source, item, value, rank`` of every source and every other of its language."""
     lone = ws.write(lone_sums(uses, facts), "lone")
-    shared = shared_terms(postings, facts)
+    shared = shared_terms(uses)
     there = lone.filter("source < item").select("lang", F.col("source").alias("a"), F.col("item").alias("b"), F.col("lone").alias("ab"))
     back = lone.filter("source > item").select("lang", F.col("item").alias("a"), F.col("source").alias("b"), F.col("lone").alias("ba"))
     found = there.join(back, ["lang", "a", "b"]).join(shared, ["lang", "a", "b"], "left").na.fill(0, ["both", "excess"])
@@ -228,7 +227,7 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, k: int = TOP_TERMS)
     ws.drop("counted")
     uses = ws.write(term_uses(postings, facts), "uses")
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    found = pair_distances(ws, postings, uses, facts).withColumn("part", F.lit("pair")).select(*columns)
+    found = pair_distances(ws, uses, facts).withColumn("part", F.lit("pair")).select(*columns)
     best = top_terms(ws, uses, k)
     return found if best is None else found.unionByName(best.withColumn("part", F.lit("term")).select(*columns))
 
