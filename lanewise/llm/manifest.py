@@ -41,7 +41,7 @@ FANOUT = 3
 BLOCK = 6
 #: Leaves of a range, and those below which more ranges aren't worth a task.
 RANGE_ROWS = 100_000
-LEAST_ROWS = 2_000
+LEAST_ROWS = 10_000
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _NODE = "tree string, total long, level int, idx long, digest string, pending boolean, doc_id long, other string"
