@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import keyed, ledger
+from .components import connected, cut
 
 
 def reusable_readings(occ: DataFrame, rules: DataFrame) -> DataFrame:
@@ -125,38 +130,105 @@ def library_states(evidence: DataFrame, approvals: DataFrame) -> DataFrame:
     return rows.select("glyph_id", F.col("resolved").alias("reading"), "first_id", "second_id", state.alias("state"))
 
 
-def independent_sources(evidence: DataFrame, most: int = 64, steps: int = 200_000) -> DataFrame:
-    """How many sources of a glyph differ pairwise in project, file and font.
+def _most_distinct(sources: list[tuple]) -> int:
+    """The largest set of sources that differ pairwise on every axis, by exact search.
 
-    ``independent`` is the greatest number, found by a search that gives up where no
-    more can be gained; a glyph above ``most`` distinct sources, or one whose search
-    takes more than ``steps``, has the best number found and ``decided`` false.
+    A source whose rivals all share one axis with it is taken: they exclude each other
+    anyway. Parts without rivals between them are counted apart, and sets met again are
+    looked up. Otherwise the source with most rivals is taken or left; leaving it is tried
+    only where the fewest values of an axis allow more.
+    """
+    axes = range(len(sources[0])) if sources else ()
+    values: list[dict] = [{} for _ in axes]
+    for k, s in enumerate(sources):
+        for a in axes:
+            values[a][s[a]] = values[a].get(s[a], 0) | 1 << k
+    shares = [[values[a][s[a]] for a in axes] for s in sources]
+    rivals = [functools.reduce(operator.or_, shares[k]) & ~(1 << k) for k in range(len(sources))]
+    known: dict[int, int] = {0: 0}
+
+    def members(mask: int) -> Iterator[int]:
+        while mask:
+            low = mask & -mask
+            yield low.bit_length() - 1
+            mask ^= low
+
+    def part(mask: int) -> int:
+        reached = front = mask & -mask
+        while front:
+            front = functools.reduce(operator.or_, (rivals[k] for k in members(front))) & mask & ~reached
+            reached |= front
+        return reached
+
+    def most(mask: int) -> int:
+        if mask not in known:
+            known[mask] = _count(mask)
+        return known[mask]
+
+    def _count(mask: int) -> int:
+        taken, simple = 0, True
+        while simple:
+            simple = False
+            for k in members(mask):
+                near = rivals[k] & mask
+                if mask >> k & 1 and any(near & ~own == 0 for own in shares[k]):
+                    mask &= ~(near | 1 << k)
+                    taken, simple = taken + 1, True
+        if not mask:
+            return taken
+        one = part(mask)
+        if one != mask:
+            return taken + most(one) + most(mask & ~one)
+        k = max(members(mask), key=lambda i: (rivals[i] & mask).bit_count())
+        best = 1 + most(mask & ~(rivals[k] | 1 << k))
+        rest = mask & ~(1 << k)
+        if best < min(sum(1 for v in values[a].values() if v & rest) for a in axes):
+            best = max(best, most(rest))
+        return taken + best
+
+    return most((1 << len(sources)) - 1)
+
+
+def independent_sources(evidence: DataFrame) -> DataFrame:
+    """``glyph_id, independent``: how many sources of a glyph differ pairwise in project, file and font.
+
+    Only evidence that ``counts_toward_global_quorum`` is counted, where that column is there.
+    Before anything is searched, sources that can stand for others are told by counts
+    alone: a source whose other two values nothing else has can replace every source
+    it shares the third with. What is left falls into parts without common values; each part
+    is searched by itself, exactly, and their numbers add up.
     """
     axes = ["project_id", "pdf_sha256", "font_sha256"]
-    sources = evidence.select("glyph_id", *axes).distinct()
-    # what is beyond `most` never meets in one task: the row rank is taken per glyph by a sort that spills
-    ranked = sources.withColumn("_k", F.row_number().over(Window.partitionBy("glyph_id").orderBy(*axes)))
-    kept = ranked.filter(F.col("_k") <= most + 1)
+    counted = evidence.filter("counts_toward_global_quorum = 1") if "counts_toward_global_quorum" in evidence.columns else evidence
+    sources = cut(counted.select("glyph_id", *(F.coalesce(F.col(a), F.lit("")).alias(a) for a in axes)).distinct())
+    alone, rest = None, sources
+    while not rest.isEmpty():
+        marked = rest
+        for a in axes:
+            held = rest.groupBy("glyph_id", a).agg(F.count(F.lit(1)).alias(f"n_{a}"))
+            marked = marked.join(held, ["glyph_id", a])
+        lone = [F.col(f"n_{a}") == 1 for a in axes]
+        free = F.when(lone[1] & lone[2], 0).when(lone[0] & lone[2], 1).when(lone[0] & lone[1], 2)
+        marked = cut(marked.withColumn("free", free))
+        # of the sources that stand for one value's sources, the first is taken, and the value with it
+        takers = cut(functools.reduce(DataFrame.unionByName, (marked.filter(f"free = {k}").groupBy("glyph_id", a).agg(F.min(F.struct(*axes)).alias("s")).select("glyph_id", "s.*") for k, a in enumerate(axes))))
+        if takers.isEmpty():
+            break
+        alone = takers if alone is None else alone.unionByName(takers)
+        for a in axes:
+            rest = rest.join(takers.select("glyph_id", a), ["glyph_id", a], "left_anti")
+        rest = cut(rest)
+    numbered = cut(rest.withColumn("id", F.monotonically_increasing_id()))
+    links = functools.reduce(DataFrame.unionByName, (numbered.join(numbered.groupBy("glyph_id", a).agg(F.min("id").alias("first")), ["glyph_id", a]).select("glyph_id", "id", "first") for a in axes))
+    parts = connected(links, ["glyph_id"], "id", "first")
+    grouped = numbered.join(parts.withColumnRenamed("node", "id"), ["glyph_id", "id"], "left").withColumn("root", F.coalesce("root", "id"))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = list(frame.sort_values(axes)[axes].itertuples(index=False, name=None))
-        over, rows = len(rows) > most, rows[:most]
-        best, left = 0, steps
-
-        def go(at: int, taken: int, used: tuple[frozenset, ...]) -> None:
-            nonlocal best, left
-            best, left = max(best, taken), left - 1
-            free = [r for r in rows[at:] if all(v not in u for v, u in zip(r, used, strict=True))]
-            bound = min((len(set(c)) for c in zip(*free, strict=True)), default=0)
-            if left <= 0 or taken + bound <= best:
-                return
-            for k in range(at, len(rows)):
-                if all(v not in u for v, u in zip(rows[k], used, strict=True)):
-                    go(k + 1, taken + 1, tuple(u | {v} for v, u in zip(rows[k], used, strict=True)))
-                    if left <= 0:
-                        return
-
-        go(0, 0, (frozenset(),) * 3)
-        return pd.DataFrame([(frame["glyph_id"].iloc[0], best, not over and left > 0)], columns=["glyph_id", "independent", "decided"])
-
-    return kept.groupBy("glyph_id").applyInPandas(search, "glyph_id string, independent int, decided boolean")
+        found = _most_distinct(sorted(frame[axes].itertuples(index=False, name=None)))
+        return pd.DataFrame([(frame["glyph_id"].iloc[0], found)], columns=["glyph_id", "n"])
+
+    each = grouped.groupBy("glyph_id", "root").applyInPandas(search, "glyph_id string, n long")
+    if alone is not None:
+        each = each.unionByName(alone.groupBy("glyph_id").agg(F.count(F.lit(1)).alias("n")))
+    sums = each.groupBy("glyph_id").agg(F.sum("n").cast("int").alias("independent"))
+    return evidence.select("glyph_id").distinct().join(sums, "glyph_id", "left").na.fill(0, ["independent"])

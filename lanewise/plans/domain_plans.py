@@ -435,3 +435,16 @@ def confirm_blocked(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     return rows.select("occurrence_id", bindings.confirm_blocked().alias("why"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT DISTINCT l_orderkey AS g, l_suppkey % 5 AS p, l_partkey % 6 AS f, l_linenumber AS t FROM lineitem WHERE l_returnflag <> 'A'),
+i AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, f, t) AS i FROM t),
+s(g, i, n, ps, fs, ts) AS (
+  SELECT g, i, 1, [p], [f], [t] FROM i
+  UNION ALL SELECT s.g, i.i, n + 1, list_append(ps, i.p), list_append(fs, i.f), list_append(ts, i.t) FROM s JOIN i ON i.g = s.g AND i.i > s.i AND NOT list_contains(ps, i.p) AND NOT list_contains(fs, i.f) AND NOT list_contains(ts, i.t))
+SELECT CAST(o AS VARCHAR) AS glyph_id, CAST(coalesce(max(n), 0) AS INTEGER) AS independent FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem) LEFT JOIN s ON g = o GROUP BY 1""")
+def independent_sources(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag")
+    evidence = lines.select(F.col("l_orderkey").cast("string").alias("glyph_id"), (F.col("l_suppkey") % 5).cast("string").alias("project_id"), (F.col("l_partkey") % 6).cast("string").alias("pdf_sha256"), F.col("l_linenumber").cast("string").alias("font_sha256"), (F.col("l_returnflag") != "A").cast("int").alias("counts_toward_global_quorum"))
+    return review.independent_sources(evidence)

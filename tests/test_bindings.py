@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import hashlib
 
 import pytest
@@ -172,10 +174,31 @@ def test_unknown_reviews_raise(spark):
         review.replay(rows, good.unionByName(spark.createDataFrame([("q", 1, "resolve", "ㄅ", "x", "t", "a", None)], event))).collect()
 
 
-def test_independent_sources_is_bounded(spark):
-    rows = [("g", f"p{i}", f"f{i}", f"t{i}") for i in range(5)] + [("g", "p0", "f1", "t2"), ("h", "p", "f", "t"), ("h", "p", "f2", "t2")] + [("big", f"p{i}", f"f{i % 9}", f"t{i % 7}") for i in range(90)]
-    got = {r.glyph_id: (r.independent, r.decided) for r in review.independent_sources(spark.createDataFrame(rows, "glyph_id string, project_id string, pdf_sha256 string, font_sha256 string")).collect()}
-    assert got["g"] == (5, True) and got["h"] == (1, True) and got["big"][1] is False and got["big"][0] >= 5
+def most_distinct(sources):
+    if not sources:
+        return 0
+    first, rest = sources[0], sources[1:]
+    return max(most_distinct(rest), 1 + most_distinct([s for s in rest if all(x != y for x, y in zip(first, s, strict=True))]))
+
+
+def test_independent_sources_are_exact(spark):
+    rng = random.Random(6)
+    glyphs = {f"g{k}": [tuple(f"{a}{rng.randrange(w)}" for a, w in zip("pft", rng.choice([(2, 9, 9), (3, 3, 3), (4, 5, 6)]), strict=True)) for _ in range(rng.randint(1, 13))] for k in range(40)}
+    rows = [(g, *s, 1) for g, own in glyphs.items() for s in own] + [("none", "p", "f", "t", 0), ("g0", "px", "fx", "tx", 0), ("null", None, None, None, 1), ("null", None, "f", "t", 1)]
+    many = [("many", f"p{k}", f"f{k // 2}", f"t{k}", 1) for k in range(300)] + [("hot", "p", f"f{k}", f"t{k}", 1) for k in range(3_000)]
+    df = spark.createDataFrame(rows + many, "glyph_id string, project_id string, pdf_sha256 string, font_sha256 string, counts_toward_global_quorum int")
+    got = {r.glyph_id: r.independent for r in review.independent_sources(df).collect()}
+    assert got == {g: most_distinct(sorted(set(own))) for g, own in glyphs.items()} | {"none": 0, "null": 1, "many": 150, "hot": 1}
+
+
+def test_search_without_a_cap():
+    """A grid of 15 by 15 by 15 values, and odd rings in which nobody can be taken first."""
+    grid = [(a, (a * b + b) % 15, (a + 2 * b) % 15) for a in range(15) for b in range(6)]
+    assert review._most_distinct(sorted(set(grid))) == 15
+    ring = lambda n, k: [(f"{k}p{i // 2}" if i < n - 1 or n % 2 == 0 else f"{k}x", f"{k}q{(i + 1) // 2 % (n // 2 + 1)}", f"{k}r{i}") for i in range(n)]
+    rings = [s for k in range(40) for s in ring(5, k)]
+    assert review._most_distinct(rings) == 40 * most_distinct(ring(5, 0))
+
 
 
 def test_first_differing_pair_on_a_hot_key(spark):
