@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tone_class
+from .components import cut
 from .keyed import resolve_by_priority
 
 # What stands before a classifier, a unit, or ends a clause.
@@ -459,6 +460,39 @@ def coordinate_rescue_fits(line: Column, pos: Column, char: Column) -> Column:
     return F.coalesce((n > 0) & pos.isNotNull() & ((text == char) | (n <= 3) | edge), F.lit(False))
 
 
+# Least strength of what a second look may find, of a rule alone, and what counts besides exact rules.
+RESCUE_FROM, RESCUE_RULE_FROM = 95, 130
+RESCUES = ("special_repeat", "special_yi", "special_bu", "special_ge", "dictionary_example", "concise_word", "concise_single")
+
+
+def rescued(occ: DataFrame, evidence: Evidence) -> DataFrame:
+    """:func:`decided`, then a second look at what it left open, in the order of the page.
+
+    ``occ`` has ``fallback, fallback_pos`` besides: the characters around the target as they
+    stand on the page, and its place among them. Looked at again are occurrences without a
+    finding or with a held default, without conflict, where
+    :func:`coordinate_rescue_fits`. The whole search on the page's order is taken if it is strong enough and exact, or
+    of one of ``RESCUES`` where the line isn't blank; failing that, and unless that search
+    ended in a conflict, a strong exact rule alone. Adds ``rescued``.
+    """
+    c = F.col
+    first = cut(decided(occ.select("occurrence_id", "line", "pos", "char"), evidence))
+    left_open = (c("reading").isNull() & (c("basis") != "skip") | (c("basis") == "default")) & c("conflicting").isNull()
+    again = first.filter(left_open).select("occurrence_id").join(occ, "occurrence_id")
+    again = again.filter((F.coalesce("fallback", F.lit("")) != "") & c("fallback_pos").isNotNull() & coordinate_rescue_fits(c("line"), c("pos"), c("char")))
+    again = cut(again.select("occurrence_id", "char", c("line").alias("own"), c("fallback").alias("line"), c("fallback_pos").alias("pos")))
+    second = decided(again.drop("own"), evidence).select("occurrence_id", c("reading").alias("r"), c("basis").alias("b"), c("strength").alias("s"), c("conflicting").alias("x"))
+    alone = _lexical(again.drop("own"), evidence.rules, "_l").select("occurrence_id", "_l")
+    looked = again.select("occurrence_id", (F.trim(F.coalesce("own", F.lit(""))) != "").alias("has_line")).join(second, "occurrence_id", "left").join(alone, "occurrence_id", "left")
+    whole = c("r").isNotNull() & c("x").isNull() & (c("s") >= RESCUE_FROM) & ((c("b") == "exact") | c("has_line") & c("b").isin(*RESCUES))
+    ruled = c("x").isNull() & c("_l.conflicting").isNull() & (c("_l.mode") == "exact") & (c("_l.strength") >= RESCUE_RULE_FROM)
+    pick = F.when(whole, F.struct(c("r").alias("reading"), c("b").alias("basis"), c("s").alias("strength"))).when(ruled, F.struct(c("_l.reading").alias("reading"), c("_l.mode").alias("basis"), c("_l.strength").cast("int").alias("strength")))
+    found = looked.select("occurrence_id", pick.alias("p")).filter("p IS NOT NULL")
+    names = ("reading", "basis", "strength")
+    rows = first.join(found, "occurrence_id", "left")
+    return rows.withColumns({n: F.when(c("p").isNotNull(), c(f"p.{n}")).otherwise(c(n)) for n in names} | {"rescued": c("p").isNotNull()}).drop("p")
+
+
 def expected_lane(occ: DataFrame, rules: DataFrame, words: DataFrame, singles: DataFrame, handbook: DataFrame | None = None, characters: DataFrame | None = None, examples: DataFrame | None = None) -> DataFrame:
     """The whole lane: ``occurrence_id, expected_set, expected_status, basis``."""
     found = decided(occ, Evidence(rules, words, singles, handbook, characters, examples))
