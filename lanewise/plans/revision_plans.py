@@ -45,7 +45,8 @@ def _edition(spark: SparkSession, d: str, new: bool) -> DataFrame:
         code = F.when((F.col("event_id") % 17 == 3) & (page % 40 != 7), code + 200).otherwise(code)
         empty = page % 29 == 11
     rows = rows.select((page + (3 if new else 0)).alias("page"), at.alias("source_row_number"), F.when(empty, "").otherwise(_character(code)).alias("char"), F.col("value").cast("string").alias("reading"))
-    label = F.when(F.col("page") % 5 == 0, (F.col("page") % 400).cast("string"))
+    first = F.col("page") - (3 if new else 0)
+    label = F.when(first % 5 == 0, (first % 400).cast("string"))
     return revision.pages(rows.withColumns({"pdf_order": F.floor(F.col("page") / 100).cast("int"), "label": label}))
 
 
@@ -55,7 +56,7 @@ c AS (SELECT *, CASE WHEN p % 40 = 7 THEN 19968 + i WHEN p % 40 = 8 THEN 20000 +
 o AS (SELECT p AS page, string_agg(CASE WHEN p % 31 = 4 THEN '' ELSE chr(code) END, '' ORDER BY i) AS t FROM c GROUP BY 1),
 n AS (SELECT p + 3 AS page, string_agg(CASE WHEN p % 29 = 11 THEN '' WHEN event_id % 17 = 3 AND p % 40 <> 7 THEN chr(code + 200) ELSE chr(code) END, '' ORDER BY i) AS t FROM c WHERE event_id % 13 <> 5 GROUP BY 1),
 op AS (SELECT row_number() OVER (ORDER BY page) - 1 AS k, t, CASE WHEN page % 5 = 0 THEN page % 400 END AS label FROM o),
-np AS (SELECT row_number() OVER (ORDER BY page) - 1 AS k, t, CASE WHEN page % 5 = 0 THEN page % 400 END AS label FROM n),
+np AS (SELECT row_number() OVER (ORDER BY page) - 1 AS k, t, CASE WHEN (page - 3) % 5 = 0 THEN (page - 3) % 400 END AS label FROM n),
 lp AS (SELECT a.k AS o, b.k AS n, a.t AS a, b.t AS b FROM (SELECT label, min(k) AS k, min(t) AS t FROM op WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) = 1) a
        JOIN (SELECT label, min(k) AS k, min(t) AS t FROM np WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) = 1) b ON a.label = b.label),
 ot AS (SELECT DISTINCT t FROM op WHERE t <> ''), nt AS (SELECT DISTINCT t FROM np WHERE t <> ''),
