@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Used only where a local session names no ``spark.checkpoint.dir`` (tests).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
@@ -38,6 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named or DEFAULT_SHARED_DIR
 
 
+def named(column: str, of: str = "") -> Column:
+    """A column by its own name, whatever is in it: dots, spaces, backticks."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def whole_row(columns: list[str]) -> Column:
+    """The columns as one struct ``row``, which Python passes on untouched."""
+    return F.struct(*(named(c).alias(c) for c in columns)).alias("row")
+
+
+def with_row(rows: DataFrame, others: str = "") -> StructType:
+    """The schema of ``row`` and then ``others``."""
+    more = StructType.fromDDL(others).fields if others else []
+    return StructType([StructField("row", rows.schema["row"].dataType), *more])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, unless the session says how much that is."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches, table, worker_cache
+from .common import Workspace, small_batches, table, whole_row, with_row, worker_cache
 
 ERROR_RATE = 0.05
 SHORT_CHARS = 25
@@ -180,7 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, most:
         if k:
             docs = ws.write(docs, f"block{k}")  # one automaton at a time in a worker
         shared, name, columns = spark.sparkContext.broadcast(block), _name(block), docs.columns
-        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text")
+        rows = docs.select(whole_row(columns), "text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,7 +188,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, most:
                 good = [not text.is_valid or not items.matches(normal(text.as_py())) for text in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(good, pa.bool_()))], ["row"])
 
-        docs = rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}").select("row.*")
+        docs = rows.mapInArrow(run, with_row(rows)).select("row.*")
     return docs
 
 

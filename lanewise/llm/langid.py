@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, worker_cache
+from .common import small_batches, table, whole_row, with_row, worker_cache
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -208,7 +208,7 @@ def predictions(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """Every row of ``docs`` as ``row``, a struct of ``columns``, with ``lang_pred, score, rejected``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*columns).alias("row"), "text")
+    rows = docs.select(whole_row(columns), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("langid")
@@ -218,7 +218,7 @@ def predictions(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             lang, score, no = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, with_row(rows, "lang_pred string, score double, rejected boolean"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

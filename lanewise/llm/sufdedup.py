@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_bytes, worker_cache
+from .common import Workspace, table, text_bytes, whole_row, with_row, worker_cache
 from .repeats import (
     _PARCEL,
     BUCKETS_PER_PARTITION,
@@ -371,7 +371,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[bytes], object], kind: pa.
     """
     source = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = per_document(repeated_strings(Workspace(docs.sparkSession, "suffix"), source))
-    carried = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*keep).alias("row"))
+    carried = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", whole_row(keep))
     joined = carried.join(spans, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, finish: Callable[[bytes], object], kind: pa.
             n, gone, runs, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([finish(k) for k in kept], kind)], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.select("row", "text", "spans").mapInArrow(run, f"row {dict(carried.dtypes)['row']}, n_bytes long, n_removed long, n_spans long, kept {declared}")
+    return joined.select("row", "text", "spans").mapInArrow(run, with_row(carried, f"n_bytes long, n_removed long, n_spans long, kept {declared}"))
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
