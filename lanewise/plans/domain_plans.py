@@ -128,23 +128,23 @@ def review_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT l_partkey AS c, CASE WHEN l_returnflag = 'R' THEN 'FAIL' WHEN l_returnflag = 'A' THEN 'NOT_EXECUTED' ELSE 'PASS' END AS result, l_linenumber = 7 AS other FROM lineitem WHERE l_linenumber IN (1, 7)),
+WITH r AS (SELECT l_orderkey AS c, CASE WHEN l_returnflag = 'R' THEN 'FAIL' WHEN l_returnflag = 'A' THEN 'NOT_EXECUTED' ELSE 'PASS' END AS result, l_linenumber = 7 AS other FROM lineitem),
 g AS (SELECT c, count(*) FILTER (result IN ('PASS', 'FAIL')) AS executed, count(*) FILTER (result = 'FAIL') AS failed, count(*) FILTER (result = 'NOT_EXECUTED') AS missed, count(DISTINCT other) AS d FROM r GROUP BY 1)
 SELECT CAST(c AS VARCHAR) AS case_id, executed, CASE WHEN d > 1 THEN 'DEFINITION_DRIFT' WHEN executed > 1 OR failed > 0 THEN 'FAIL' WHEN executed = 1 THEN 'PASS' WHEN missed > 0 THEN 'NOT_EXECUTED' ELSE 'NOT_APPLICABLE' END AS result FROM g""")
 def regression_roll_up(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "lineitem", "l_partkey", "l_returnflag", "l_linenumber").filter("l_linenumber IN (1, 7)")
+    lines = read(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber")
     result = F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "NOT_EXECUTED").otherwise("PASS")
-    return regression.roll_up(lines.select(F.col("l_partkey").cast("string").alias("case_id"), result.alias("result"), F.when(F.col("l_linenumber") == 7, "b").otherwise("a").alias("definition_sha")))
+    return regression.roll_up(lines.select(F.col("l_orderkey").cast("string").alias("case_id"), result.alias("result"), F.when(F.col("l_linenumber") == 7, "b").otherwise("a").alias("definition_sha")))
 
 
 @query("""
-WITH n AS (SELECT l_partkey AS c, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+WITH n AS (SELECT l_partkey AS c, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1),
 j AS (SELECT p.p_partkey AS r, n.* FROM (SELECT p_partkey FROM part WHERE p_size > 10) p FULL JOIN n ON n.c = p.p_partkey),
 a AS (SELECT count(*) FILTER (r IS NOT NULL) AS required, count(*) FILTER (r IS NOT NULL AND c IS NOT NULL) AS executed, count(*) FILTER (r IS NOT NULL AND c IS NULL) AS missing, count(*) FILTER (r IS NULL) AS unexpected, count(*) FILTER (n > 1) AS repeated, CAST(coalesce(sum(f), 0) AS BIGINT) AS failed FROM j)
 SELECT *, required > 0 AND missing + unexpected + repeated + failed = 0 AS ok FROM a""")
 def regression_report(spark: SparkSession, d: str) -> DataFrame:
     required = read(spark, d, "part", "p_partkey", "p_size").filter("p_size > 10").select(F.col("p_partkey").alias("case_id"))
-    ran = read(spark, d, "lineitem", "l_partkey", "l_returnflag", "l_linenumber").filter("l_linenumber = 1")
+    ran = read(spark, d, "lineitem", "l_partkey", "l_returnflag")
     return regression.execution_report(required, ran.select(F.col("l_partkey").alias("case_id"), F.when(F.col("l_returnflag") == "R", "FAIL").otherwise("PASS").alias("result")))
 
 
@@ -390,11 +390,11 @@ def fingerprint_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT l_suppkey % 50 AS sha, count(*) AS n, min(l_orderkey) AS path FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 40 GROUP BY 1)
-SELECT p_partkey AS kind, CASE WHEN n = 1 THEN path END AS path, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS binding FROM part LEFT JOIN n ON sha = p_size""")
+WITH n AS (SELECT l_partkey * 1000 + l_suppkey AS sha, count(*) AS n, min(l_orderkey) AS path FROM lineitem GROUP BY 1)
+SELECT p_partkey AS kind, CASE WHEN n = 1 THEN path END AS path, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'BOUND' END AS binding FROM part LEFT JOIN n ON sha = p_partkey * 1000 + p_size""")
 def sealed_binding(spark: SparkSession, d: str) -> DataFrame:
-    found = read(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity").filter("l_linenumber = 7 AND l_quantity > 40").select((F.col("l_suppkey") % 50).alias("sha256"), F.col("l_orderkey").alias("path"))
-    return bindings.bound_files(read(spark, d, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("kind"), F.col("p_size").alias("sha256")), found)
+    found = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_orderkey").select((F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("sha256"), F.col("l_orderkey").alias("path"))
+    return bindings.bound_files(read(spark, d, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("kind"), (F.col("p_partkey") * 1000 + F.col("p_size")).alias("sha256")), found)
 
 
 @query("""
