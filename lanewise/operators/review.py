@@ -99,12 +99,20 @@ def groups(rows: DataFrame, identity: list[str]) -> DataFrame:
 def queue(rows: DataFrame, lane: str) -> DataFrame:
     """Review order as ``place``: lane, first appearance of the character, file, page, row, position, id.
 
-    Ranked inside each lane; lanes themselves are few and ordered by name.
+    Ranked inside each lane; lanes themselves are few and ordered by name. Rows are dealt
+    by ranges of lane and order, each range is ranked by itself, and the counts of the
+    ranges before it are added, so a lane is as many tasks as it needs.
     """
+    order = ["_f", "char", "pdf_order", "page", "source_row_number", "y0", "x0", "occurrence_id"]
     firsts = rows.groupBy("char").agg(F.min(F.struct("pdf_order", "page", "source_row_number")).alias("_f"))
     pending = rows.filter("active_review").join(firsts, "char")
-    w = Window.partitionBy(lane).orderBy("_f", "char", "pdf_order", "page", "source_row_number", "y0", "x0", "occurrence_id")
-    return pending.withColumn("place", F.row_number().over(w)).drop("_f")
+    dealt = cut(pending.repartitionByRange(lane, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(lane, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(lane).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    bases = counts.select(F.col(lane).alias("_lane"), F.col("_range").alias("_r"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(lane, "_range").orderBy(*order))
+    placed = dealt.withColumn("_in", inside).join(bases, F.col(lane).eqNullSafe(F.col("_lane")) & (F.col("_range") == F.col("_r")))
+    return placed.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).drop("_f", "_range", "_in", "_lane", "_r", "_before")
 
 
 def learnt_truth(evidence: DataFrame) -> DataFrame:

@@ -104,6 +104,9 @@ def test_groups_and_queue(spark):
     got = {r.stable_key: (r.n, [m.occurrence_id for m in r.members]) for r in review.groups(df, ["stable_key"]).collect()}
     assert got == {"k": (2, ["b", "a"]), "m": (2, ["c", "d"])}
     assert {r.occurrence_id: r.place for r in review.queue(df, "lane").collect()} == {"d": 1, "b": 2}
+    many = spark.createDataFrame([(f"o{k}", "p", 1, k % 7, k, 0.0, 0.0, "角色一"[k % 3], "k", None, "REVIEW_PENDING", True, "l" if k % 5 else None) for k in range(500)], columns)
+    places = [(r.lane, r.place) for r in review.queue(many, "lane").collect()]
+    assert sorted(p for lane, p in places if lane) == [*range(1, 401)] and sorted(p for lane, p in places if not lane) == [*range(1, 101)]
 
 
 def test_regressions(spark):
