@@ -49,6 +49,37 @@ def merge_decisions(ours: DataFrame, theirs: DataFrame, key: str, value: str) ->
     return merged.select(key, F.when(F.col("outcome") != "conflict", F.coalesce("_a", "_b")).alias("merged"), "outcome")
 
 
+def merge_source(events: DataFrame, source: DataFrame, conflicts: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One project's decisions taken over into another's, with where each came from.
+
+    ``events``: ``key, payload, origin, others array<string>``; ``source``: ``key, payload,
+    identity``, one row a key; ``conflicts``: ``key, source_identity, target_identity,
+    source_payload, target_payload`` of earlier merges. A decision that is absent is
+    imported with its identity as origin. An equal one is a duplicate, and its identity joins ``others``
+    unless it is known. A different one takes the decision away: both are kept in a conflict.
+    What already led to a recorded conflict is a duplicate and does nothing again.
+    Returns the events, all conflicts, and ``key, outcome`` of the source's rows. For
+    several projects, merge one after the other.
+    """
+    told = conflicts.select(F.col(key).alias("_k"), F.col("source_identity").alias("_i"), F.col("source_payload").alias("_p"), F.lit(True).alias("_told")).distinct()
+    again = source.join(told, (F.col(key) == F.col("_k")) & F.col("identity").eqNullSafe(F.col("_i")) & F.col("payload").eqNullSafe(F.col("_p")), "left")
+    theirs = again.select(key, F.lit(True).alias("_theirs"), F.col("payload").alias("_new"), "identity", F.coalesce("_told", F.lit(False)).alias("_told"))
+    rows = events.withColumn("_ours", F.lit(True)).join(theirs, key, "full")
+    came = F.coalesce("_theirs", F.lit(False)) & ~F.coalesce("_told", F.lit(False))
+    same = F.col("payload").eqNullSafe(F.col("_new"))
+    outcome = F.when(F.col("_theirs").isNull(), "keep").when(F.col("_told"), "replayed").when(F.col("_ours").isNull(), "import").when(same, "duplicate").otherwise("conflict")
+    rows = rows.withColumn("outcome", outcome)
+    others = F.coalesce("others", F.array().cast("array<string>"))
+    known = F.array_contains(F.array_append(others, F.coalesce("origin", F.lit(""))), F.col("identity"))
+    new_event = F.col("outcome") == "import"
+    kept = rows.filter("outcome <> 'conflict' AND (_ours OR outcome = 'import')").select(
+        key, F.when(new_event, F.col("_new")).otherwise(F.col("payload")).alias("payload"), F.when(new_event, F.col("identity")).otherwise(F.col("origin")).alias("origin"),
+        F.when((F.col("outcome") == "duplicate") & ~known, F.array_append(others, F.col("identity"))).otherwise(others).alias("others"),
+    )
+    clash = rows.filter("outcome = 'conflict'").select(key, F.col("identity").alias("source_identity"), F.col("origin").alias("target_identity"), F.col("_new").alias("source_payload"), F.col("payload").alias("target_payload"))
+    return kept, conflicts.unionByName(clash), rows.filter(came | F.col("_told")).select(key, "outcome")
+
+
 def undelivered(intents: DataFrame, receipts: DataFrame, key: str, digest: str) -> DataFrame:
     """Intents without a receipt, and those whose receipt names another payload."""
     known = receipts.select(key, F.col(digest).alias("_d"))

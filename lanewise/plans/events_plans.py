@@ -123,3 +123,32 @@ def event_replay(spark: SparkSession, d: str) -> DataFrame:
     rows = base.join(last, "review_id", "left")
     state = F.when(F.col("e").isNull(), F.col("s")).when(F.col("e.event_type") == "error", "EXCLUDED").when(F.col("e.seen") != F.col("seen_now"), "INVALIDATED_DRIFT").when(F.col("e.event_type") == "purchase", "CONFIRMED").otherwise(F.col("s"))
     return rows.select("review_id", state.alias("state"))
+
+
+def _merge_step(n: int) -> str:
+    """Merge number ``n`` of ``s{n}`` into the events and conflicts of the one before."""
+    return f"""
+j{n} AS (SELECT coalesce(e.k, s.k) AS k, e.k IS NOT NULL AS ours, e.v, e.origin, e.others, s.k IS NOT NULL AS theirs, s.v AS sv, s.i, EXISTS (SELECT 1 FROM c{n - 1} c WHERE c.k = s.k AND c.si = s.i AND c.sv = s.v) AS told FROM e{n - 1} e FULL JOIN s{n} s ON s.k = e.k),
+o{n} AS (SELECT *, CASE WHEN NOT theirs THEN 'keep' WHEN told THEN 'replayed' WHEN NOT ours THEN 'import' WHEN v = sv THEN 'duplicate' ELSE 'conflict' END AS outcome FROM j{n}),
+e{n} AS (SELECT k, CASE outcome WHEN 'import' THEN sv ELSE v END AS v, CASE outcome WHEN 'import' THEN i ELSE origin END AS origin, CASE WHEN outcome = 'import' THEN [] WHEN outcome = 'duplicate' AND NOT list_contains(others, i) AND i IS DISTINCT FROM origin THEN list_append(others, i) ELSE others END AS others FROM o{n} WHERE outcome <> 'conflict' AND (ours OR outcome = 'import')),
+c{n} AS (SELECT * FROM c{n - 1} UNION ALL SELECT k, i, origin, sv, v FROM o{n} WHERE outcome = 'conflict')"""
+
+
+@query(f"""
+WITH last AS (SELECT user_id AS k, event_id % 3 AS g, arg_max(event_type, event_id) AS v, max(event_id) AS i FROM events GROUP BY ALL),
+e0 AS (SELECT k, v, CAST(NULL AS VARCHAR) AS origin, CAST([] AS VARCHAR[]) AS others FROM last WHERE g = 0 AND k % 7 <> 0),
+c0 AS (SELECT k, 'a:1' AS si, CAST(NULL AS VARCHAR) AS ti, v AS sv, 'none' AS tv FROM last WHERE g = 1 AND false),
+s1 AS (SELECT k, v, concat('a:', i) AS i FROM last WHERE g = 1), s2 AS (SELECT k, v, concat('b:', i) AS i FROM last WHERE g = 2), s3 AS (SELECT * FROM s1),
+{_merge_step(1)}, {_merge_step(2)}, {_merge_step(3)}
+SELECT k AS user_id, 'event' AS part, v AS payload, origin, array_to_string(others, ',') AS more FROM e3 UNION ALL SELECT k, 'conflict', sv, si, tv FROM c3 UNION ALL SELECT k, outcome, NULL, NULL, NULL FROM o3 WHERE theirs""")
+def merge_with_provenance(spark: SparkSession, d: str) -> DataFrame:
+    last = _events(spark, d).groupBy("user_id", (F.col("event_id") % 3).alias("g")).agg(F.max_by("event_type", "event_id").alias("payload"), F.max("event_id").alias("i"))
+    events = last.filter("g = 0 AND user_id % 7 <> 0").select("user_id", "payload", F.lit(None).cast("string").alias("origin"), F.array().cast("array<string>").alias("others"))
+    a, b = (last.filter(F.col("g") == g).select("user_id", "payload", F.concat(F.lit(f"{name}:"), "i").alias("identity")) for g, name in ((1, "a"), (2, "b")))
+    conflicts = spark.createDataFrame([], "user_id long, source_identity string, target_identity string, source_payload string, target_payload string")
+    for source in (a, b, a):  # the first project comes again
+        events, conflicts, outcomes = reconcile.merge_source(events, source, conflicts, "user_id")
+    none = F.lit(None).cast("string")
+    rows = events.select("user_id", F.lit("event").alias("part"), "payload", "origin", F.array_join("others", ",").alias("more"))
+    rows = rows.unionByName(conflicts.select("user_id", F.lit("conflict").alias("part"), F.col("source_payload").alias("payload"), F.col("source_identity").alias("origin"), F.col("target_payload").alias("more")))
+    return rows.unionByName(outcomes.select("user_id", F.col("outcome").alias("part"), none.alias("payload"), none.alias("origin"), none.alias("more")))

@@ -47,3 +47,18 @@ def test_refresh_recomputes_changed_parts_only(spark, tmp_path):
     assert run([("a", 2), ("a", 1), ("b", 5)], 2) == ([], {"a": (3, 1), "b": (5, 1)})
     assert run([("a", 1), ("a", 2), ("b", 6), ("c", 1)], 3) == (["b", "c"], {"a": (3, 1), "b": (6, 3), "c": (1, 3)})
     assert run([("a", 1), ("a", 2), ("b", 6), ("c", 1)], 4, "v2")[0] == ["a", "b", "c"]
+
+
+def test_merge_with_provenance(spark):
+    from lanewise.operators import reconcile
+
+    events = spark.createDataFrame([("same", "x", None, []), ("known", "x", "a:2", ["b:2"]), ("other", "x", None, []), ("kept", None, "z", None)], "k string, payload string, origin string, others array<string>")
+    source = spark.createDataFrame([("same", "x", "a:1"), ("known", "x", "a:2"), ("other", "y", "a:3"), ("new", None, "a:4")], "k string, payload string, identity string")
+    none = spark.createDataFrame([], "k string, source_identity string, target_identity string, source_payload string, target_payload string")
+    kept, clash, outcomes = reconcile.merge_source(events, source, none, "k")
+    assert {r.k: (r.payload, r.origin, r.others) for r in kept.collect()} == {"same": ("x", None, ["a:1"]), "known": ("x", "a:2", ["b:2"]), "kept": (None, "z", []), "new": (None, "a:4", [])}
+    assert [tuple(r) for r in clash.collect()] == [("other", "a:3", None, "y", "x")]
+    assert {r.k: r.outcome for r in outcomes.collect()} == {"same": "duplicate", "known": "duplicate", "other": "conflict", "new": "import"}
+    again, clash2, outcomes = reconcile.merge_source(kept, source, clash, "k")
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect())) and clash2.count() == 1
+    assert {r.k: r.outcome for r in outcomes.collect()} == {"same": "duplicate", "known": "duplicate", "other": "replayed", "new": "duplicate"}
