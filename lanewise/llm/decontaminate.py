@@ -16,7 +16,8 @@ a text may also stand in a document by chance.
 
 Cases: null and empty texts match nothing; null and empty items have nothing to
 look for; equal items all match; repeated rows of a document are compared each, and give repeated rows;
-extra columns are ignored; empty tables give an empty result.
+a null doc_id is compared like others; of equally good places of an item the first one
+found from the left counts; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ row of class scores per bucket. It has a fixed size and is broadcast; every
 whole text is scored where it is read, with no shuffle.
 
 Cases: null texts, and texts without a letter, are ``und`` with score 0 and are
-rejected; a null label is not trained on; repeated rows are scored each; with no
+rejected; a null label is not trained on; a null doc_id is scored, never trained on, and
+neither held out nor not (null); repeated rows are scored each; with no
 labelled rows at all every text is ``und``; extra columns are ignored; an empty
 table gives an empty result.
 """

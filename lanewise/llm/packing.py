@@ -16,6 +16,7 @@ the parts and are joined by merging.
 
 Cases: a null or empty text is the end id alone; documents of exactly
 ``capacity`` fill a sequence; repeated rows are packed as often as they occur;
+a word of any length is coded whole and only short ones are remembered;
 an empty table gives an empty result; extra columns are ignored.
 """
 

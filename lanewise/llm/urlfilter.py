@@ -15,7 +15,8 @@ the bound, one sweep each, and the best match of all sets is kept.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits
 no rule; user data and ports stay part of the host as written; repeated
-rows are kept; an empty table gives an empty result.
+rows and null page_ids are kept; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
