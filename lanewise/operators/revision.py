@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import sequence
 from .components import cut
-from .sequence import greedy, ratio
+from .sequence import ratio
 
 # Least similarity by label and by content.
 BY_LABEL, BY_CONTENT = 0.35, 0.72
@@ -35,42 +41,148 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _tokens(pages: DataFrame) -> DataFrame:
-    """``text, n, tokens``: each distinct text's characters, repeats told apart by their number."""
-    texts = pages.select("text").distinct().withColumn("_c", F.expr("transform(sequence(1, length(text)), i -> substring(text, i, 1))"))
-    each = texts.select("text", F.posexplode("_c").alias("_at", "c")).groupBy("text", "c").agg(F.count(F.lit(1)).cast("int").alias("m"))
-    each = each.withColumn("token", F.explode(F.expr("transform(sequence(1, m), k -> concat(c, cast(k as string)))")))
-    return each.select("text", "token")
+#: Texts up to this length meet by several shared characters at once, and how many keys each has for one length.
+SHORT, MOST_KEYS = 24, 64
 
 
-def close_texts(old: DataFrame, new: DataFrame, least: float = BY_CONTENT) -> DataFrame:
-    """``a, b, score`` of all pairs of different sides' texts whose similarity reaches ``least``.
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``text, id``: each distinct text that isn't empty."""
+    return cut(pages.filter("text <> ''").select("text").distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def _listed(texts: DataFrame) -> DataFrame:
+    """``id, token``: each text's characters as numbers, repeats told apart by how often they came before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = []
+            for text in batch.column("text").to_pylist():
+                counts = Counter(text)
+                tokens.append([ord(c) << 32 | k for c, m in counts.items() for k in range(m)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.list_(pa.int64()))], ["id", "tokens"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, tokens array<long>").select("id", F.explode("tokens").alias("token"))
+
+
+def _shared_least(n: int, m: int, least: float) -> int:
+    """How many characters texts of two lengths share at least if their similarity reaches ``least``."""
+    return math.ceil(least * (n + m) / 2 - 1e-9)
+
+
+def _at_once(n: int, m: int, least: float) -> int:
+    """How many shared characters make one key for two short lengths: as many as ``MOST_KEYS`` allows."""
+    shared, at_once = _shared_least(n, m, least), 1
+    while at_once < shared and math.comb(max(n, m) - shared + at_once + 1, at_once + 1) <= MOST_KEYS:
+        at_once += 1
+    return at_once
+
+
+def _keys(tokens: list[int], others: list[int], least: float, old: bool) -> list[int]:
+    """Keys of a text of which it has one in common with every partner whose length is one of ``others``.
 
-    Similarity is at most 2 * shared / (n + m) over shared characters with repeats. So
-    partners of n characters share at least a fixed part of the n with it, and hence one
-    of the first n - part + 1 in any common order; with rare characters first few texts
-    meet there. Pairs that meet are counted whole against the bound before any is
-    aligned. Nothing is lost, and texts are fetched only for what is left.
+    Texts that share s of their n and m characters share k of the first n - s + k and
+    m - s + k in any common order. Pairs of short lengths have a k of their own; else k is 1
+    and s what the shortest possible partner has.
     """
-    sides = [cut(_tokens(p.filter("text <> ''"))) for p in (old, new)]
-    rare = sides[0].unionByName(sides[1]).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # with m partners' characters, least * (n + m) / 2 are shared, and m >= least * n / (2 - least)
-    part = F.ceil(F.col("n") * (least / (2 - least)) - 1e-9)
-    ranked = []
-    for tokens, name in zip(sides, "ab", strict=True):
-        listed = tokens.join(rare, "token").groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
-        listed = listed.withColumns({"n": F.size("tokens"), "id": F.sha2("text", 256)})
-        ranked.append(cut(listed.withColumnsRenamed({"text": name, "tokens": f"t{name}", "n": f"n{name}", "id": f"i{name}"})))
-    heads = []
-    for df, name in zip(ranked, "ab", strict=True):
-        n = F.col(f"n{name}").alias("n")
-        head = df.select(f"i{name}", f"n{name}", F.col(f"t{name}").alias("t"), n)
-        heads.append(head.select(f"i{name}", f"n{name}", F.explode(F.slice("t", F.lit(1), (F.col("n") - part + 1).cast("int"))).alias("token")))
+    n, found = len(tokens), []
+    for m in others if n <= SHORT else []:
+        shared = _shared_least(n, m, least)
+        if m <= SHORT and shared <= min(n, m):
+            k = _at_once(n, m, least)
+            lengths = (n, m) if old else (m, n)
+            found += [hash((*lengths, *c)) for c in combinations(tokens[: n - shared + k], k)]
+    own = n > SHORT
+    fits = {m > SHORT for m in others if _shared_least(n, m, least) <= min(n, m)}
+    # with m characters of a partner, least * (n + m) / 2 are shared, and m >= least * n / (2 - least)
+    first = tokens[: n - math.ceil(n * (least / (2 - least)) - 1e-9) + 1]
+    for other in fits if own else fits - {False}:
+        found += [hash((*((own, other) if old else (other, own)), t)) for t in first]
+    return found
+
+
+def _close(sides: list[DataFrame], least: float) -> DataFrame:
+    """``ia, ib, score`` of numbered texts whose similarity reaches ``least``; see :func:`close_texts`."""
+    listed = [cut(_listed(side)) for side in sides]
+    rare = listed[0].unionByName(listed[1]).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked, heads = [], []
+    for tokens, name in zip(listed, "ab", strict=True):
+        ordered = tokens.join(rare, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias(f"t{name}"))
+        ranked.append(cut(ordered.withColumnRenamed("id", f"i{name}").withColumn(f"n{name}", F.size(f"t{name}"))))
+    for k, name in enumerate("ab"):
+        # a length for each row, so as many as texts have lengths
+        other = sorted(r[0] for r in ranked[1 - k].select("nb" if k == 0 else "na").distinct().collect())
+
+        def run(batches: Iterator[pa.RecordBatch], other: list[int] = other, name: str = name) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [_keys(t, other, least, name == "a") for t in batch.column(f"t{name}").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(f"i{name}"), batch.column(f"n{name}"), pa.array(keys, pa.list_(pa.int64()))], [f"i{name}", f"n{name}", "keys"])
+
+        keyed = ranked[k].select(f"i{name}", f"n{name}", f"t{name}").mapInArrow(run, f"i{name} long, n{name} int, keys array<long>")
+        heads.append(keyed.select(f"i{name}", f"n{name}", F.explode("keys").alias("key")))
     enough = F.least("na", "nb") * 2 >= least * (F.col("na") + F.col("nb")) - 1e-9
-    met = heads[0].join(heads[1], "token").filter(enough).select("ia", "ib").distinct()
-    whole = met.join(ranked[0], "ia").join(ranked[1], "ib")
+    met = heads[0].join(heads[1], "key").filter(enough).select("ia", "ib").distinct()
     bound = F.size(F.array_intersect("ta", "tb")) * 2 >= least * (F.col("na") + F.col("nb")) - 1e-9
-    return whole.filter(bound).select("a", "b").withColumn("score", alike("a", "b")).filter(F.col("score") >= least)
+    whole = met.join(ranked[0], "ia").join(ranked[1], "ib").filter(bound).select("ia", "ib")
+    texts = whole.join(sides[0].select(F.col("id").alias("ia"), F.col("text").alias("a")), "ia").join(sides[1].select(F.col("id").alias("ib"), F.col("text").alias("b")), "ib")
+    return texts.select("ia", "ib", alike("a", "b").alias("score")).filter(F.col("score") >= least)
+
+
+def close_texts(old: DataFrame, new: DataFrame, least: float = BY_CONTENT) -> DataFrame:
+    """``a, b, score`` of all pairs of different sides' texts whose similarity reaches ``least``.
+
+    Similarity is at most 2 * shared / (n + m) over shared characters with repeats, so
+    partners share a fixed part of their characters and hence some of their first ones in
+    any common order (:func:`_keys`); with rare characters first few texts meet there, and
+    short texts of few characters meet by several at once. Pairs that meet are counted
+    whole against the bound before any is aligned. Nothing is lost, and texts are fetched
+    only for what is left.
+    """
+    sides = [_numbered(p) for p in (old, new)]
+    found = _close(sides, least).join(sides[0].select(F.col("id").alias("ia"), F.col("text").alias("a")), "ia").join(sides[1].select(F.col("id").alias("ib"), F.col("text").alias("b")), "ib")
+    return found.select("a", "b", "score")
+
+
+def _nearest(asking: DataFrame, offered: DataFrame, own: str, other: str) -> DataFrame:
+    """``own, other``: of each class's offered numbers the nearest to each asking one, the larger of two as near."""
+    rows = asking.select("cls", F.col(own).alias("at"), F.lit(True).alias("asks")).unionByName(offered.select("cls", F.col(other).alias("at"), F.lit(False).alias("asks")))
+    by = Window.partitionBy("cls").orderBy("at")
+    there = F.when(~F.col("asks"), F.col("at"))
+    rows = rows.withColumns({"_p": F.max(there).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_q": F.min(there).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    best = F.when(F.col("_p").isNull() | (F.col("_q") - F.col("at") <= F.col("at") - F.col("_p")), F.col("_q")).otherwise(F.col("_p"))
+    return rows.filter("asks").select(F.col("at").alias(own), best.alias(other))
+
+
+def nearest_greedy(left: DataFrame, right: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``old_number, new_number, score``: as :func:`sequence.greedy` on pages, without listing the pairs of equal texts.
+
+    ``left`` has ``old_number, ia``, ``right`` has ``new_number, ib``, and ``links`` scores
+    pairs of texts. A page's best pair lies at its text's best score among texts that still
+    have pages, and there at the nearest number, which a sort of both sides finds. Pairs
+    that are the best of both pages are taken, round by round.
+    """
+    rounds = sequence.GREEDY_ROUNDS if rounds is None else rounds
+    left, right, live, taken, n = cut(left), cut(right), links, None, 0
+    while True:
+        sizes = [left.groupBy("ia").agg(F.count(F.lit(1)).alias("ca")), right.groupBy("ib").agg(F.count(F.lit(1)).alias("cb"))]
+        live = cut(live.select("ia", "ib", "score").join(sizes[0], "ia").join(sizes[1], "ib"))
+        left_over = live.agg(F.sum(F.col("ca").cast("double") * F.col("cb"))).first()[0]
+        if left_over is None:
+            break
+        if n >= rounds and left_over <= sequence.GREEDY_LEFT:
+            pairs = live.join(left, "ia").join(right, "ib").select("old_number", "new_number", "score")
+            last = sequence.greedy(pairs, [], "old_number", "new_number", [F.col("score"), -F.abs(F.col("old_number") - F.col("new_number"))], 0)
+            return last if taken is None else taken.unionByName(last)
+        tops = [live.join(live.groupBy(c).agg(F.max("score").alias("_s")), c).filter("score = _s") for c in ("ia", "ib")]
+        of_left = _nearest(left.withColumnRenamed("ia", "cls"), tops[0].join(right, "ib").withColumnRenamed("ia", "cls"), "old_number", "new_number")
+        of_right = _nearest(right.withColumnRenamed("ib", "cls"), tops[1].join(left, "ia").withColumnRenamed("ib", "cls"), "new_number", "old_number")
+        mutual = of_left.join(of_right, ["old_number", "new_number"]).join(left, "old_number").join(right, "new_number")
+        chosen = cut(mutual.join(live.select("ia", "ib", "score"), ["ia", "ib"]).select("old_number", "new_number", "score"))
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        left = cut(left.join(chosen, "old_number", "left_anti"))
+        right, n = cut(right.join(chosen, "new_number", "left_anti")), n + 1
+    if taken is None:
+        return left.join(right, F.lit(False)).select("old_number", "new_number", F.lit(0.0).alias("score"))
+    return taken
 
 
 def pair(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,16 +190,18 @@ def pair(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Content pairs are all pairs of pages left with a text, from ``BY_CONTENT`` on; the
     best score is taken first, then the smaller difference of numbers, then the larger
-    old and the larger new number. Pages without text pair by label only.
+    old and the larger new number. Pages without text pair by label only. Pages of one
+    text are one to the search, and aren't multiplied with those of another.
     """
     once = lambda p, n: p.filter("coalesce(label, '') <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.min("number").alias(n), F.min("text").alias(f"{n}_text")).filter("c = 1").drop("c")
     labelled = once(old, "old_number").join(once(new, "new_number"), "label").withColumn("score", alike("old_number_text", "new_number_text")).filter(F.col("score") >= BY_LABEL)
     labelled = cut(labelled.select("old_number", "new_number", "score", F.lit("label").alias("how")))
     left = old.join(labelled.select(F.col("old_number").alias("number")), "number", "left_anti").select(F.col("number").alias("old_number"), "text")
     right = new.join(labelled.select(F.col("new_number").alias("number")), "number", "left_anti").select(F.col("number").alias("new_number"), "text")
-    close = close_texts(left, right)
-    scored = close.join(left.withColumnRenamed("text", "a"), "a").join(right.withColumnRenamed("text", "b"), "b").select("old_number", "new_number", "score")
-    content = greedy(scored, [], "old_number", "new_number", [F.col("score"), -F.abs(F.col("old_number") - F.col("new_number"))])
+    left, right = cut(left), cut(right)
+    sides = [_numbered(p) for p in (left, right)]
+    numbers = [p.join(side, "text").select(n, F.col("id").alias(i)) for p, side, n, i in ((left, sides[0], "old_number", "ia"), (right, sides[1], "new_number", "ib"))]
+    content = nearest_greedy(*numbers, cut(_close(sides, BY_CONTENT)))
     return labelled.unionByName(content.withColumn("how", F.lit("content")))
 
 

@@ -76,3 +76,32 @@ def test_pair_at_the_bound(spark):
     got = revision.pair(edition(spark, [("", words[0]), ("", words[1]), ("", "")]), edition(spark, [("", ""), ("", low), ("", cut3)]))
     assert [tuple(r) for r in got.collect()] == [(0, 2, 0.75, "content")]
     assert revision.pair(edition(spark, []), edition(spark, [("1", "x")])).count() == 0
+
+
+def test_keys_of_short_texts_meet_only_where_they_must():
+    """Twelve of a hundred characters: all close pairs have a common key, few others do."""
+    rng = random.Random(9)
+    letters = [chr(20_100 + k) for k in range(100)]
+    old = ["".join(rng.choice(letters) for _ in range(12)) for _ in range(150)]
+    new = ["".join(rng.choice(letters) if rng.random() < 0.15 else c for c in t if rng.random() > 0.08) for t in old]
+    code = lambda t: sorted(ord(c) << 32 | t[:k].count(c) for k, c in enumerate(t))
+    keys = [[set(revision._keys(code(t), sorted({len(x) for x in others}), 0.72, side)) for t in texts] for texts, others, side in ((old, new, True), (new, old, False))]
+    close = [(i, j) for i, a in enumerate(old) for j, b in enumerate(new) if ratio(a, b) >= 0.72]
+    assert len(close) > 50 and all(keys[0][i] & keys[1][j] for i, j in close)
+    assert sum(bool(a & b) for a in keys[0] for b in keys[1]) < 2 * len(old)
+    long = ["".join(rng.choice(letters) for _ in range(n)) for n in (22, 23, 26, 30)]
+    keys = [[set(revision._keys(code(t), [22, 23, 26, 30], 0.72, side)) for t in long] for side in (True, False)]
+    assert all(keys[0][i] & keys[1][i] for i in range(4))
+
+
+def test_pages_of_one_text_are_not_multiplied(spark):
+    """A thousand pages of one text on either side: a million pairs of pages, no table of them."""
+    n = 1_000
+    old = spark.range(n).select((F.col("id") * 3).alias("old_number"), F.lit(1).cast("long").alias("ia"))
+    new = spark.range(n).select((F.col("id") * 3 + 1).alias("new_number"), (F.col("id") % 2).alias("ib"))
+    links = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.8)], "ia long, ib long, score double")
+    got = sorted(map(tuple, revision.nearest_greedy(old, new, links, 99).collect()))
+    rows = [(3 * a, 3 * b + 1, 0.8 if b % 2 else 0.9) for a in range(60) for b in range(60)]
+    few = revision.nearest_greedy(old.limit(60), new.filter("new_number < 180"), links, 99).collect()
+    assert sorted(map(tuple, few)) == plain_greedy(rows, lambda r: (r[2], -abs(r[0] - r[1]), r[0], r[1]))
+    assert len(got) == n and len({r[0] for r in got}) == n and len({r[1] for r in got}) == n
