@@ -16,7 +16,9 @@ readings of a character are passed over.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -193,8 +195,10 @@ def word_hits(occ: DataFrame, words: DataFrame, longest: int = RADIUS, blocked:
     reaching the target: the boundary may then lie elsewhere. So are words that
     only seem to stand there, and those in ``blocked`` (``occurrence_id, word``).
     """
+    lengths = sorted(r[0] for r in words.select(F.length("word")).filter(F.length("word").between(2, longest)).distinct().collect())  # at most ``longest``
+    some = f"array({', '.join(map(str, lengths))})" if lengths else "cast(array() AS array<int>)"
     around = F.expr(
-        f"flatten(transform(sequence(2, {longest}), n -> transform(filter(sequence(greatest(pos - {2 * longest}, 0), pos + {longest}), s -> s + n <= length(line)), "
+        f"flatten(transform({some}, n -> transform(filter(sequence(greatest(pos - {2 * longest}, 0), pos + {longest}), s -> s + n <= length(line)), "
         "s -> named_struct('s', s, 'n', n, 'w', substring(line, s + 1, n)))))"
     )
     near = occ.select("occurrence_id", "char", "line", "pos", F.explode(around).alias("x")).select("occurrence_id", "char", "line", "pos", F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.col("x.w").alias("word"))
@@ -374,8 +378,29 @@ def resolve(occ: DataFrame, evidence: Evidence, next_tone: DataFrame | None = No
     return rows.select("occurrence_id", "char", reading.alias("reading"), shown.alias("basis"), power.alias("strength"), conflict.alias("conflicting"), c("_d").alias("readings"), c("_a").alias("allowed"))
 
 
+CONTEXT = ["line", "pos", "char"]
+
+
+def by_context(occ: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` on each distinct place of a line once; what it finds goes to every occurrence there.
+
+    Readings follow from ``line, pos, char`` alone, nulls included. The tables of a search
+    grow with the distinct places, and only one join with the occurrences.
+    """
+    contexts = cut(occ.select(*CONTEXT).distinct().withColumn("occurrence_id", F.monotonically_increasing_id()))
+    found = search(contexts)
+    told = found.select("occurrence_id", F.struct(*(c for c in found.columns if c != "occurrence_id")).alias("_f"))
+    told = told.join(contexts, "occurrence_id").select("_f", *(F.col(c).alias(f"_{c}") for c in CONTEXT))
+    same = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTEXT))
+    return occ.select("occurrence_id", *CONTEXT).join(told, same).select("occurrence_id", "_f.*")
+
+
 def decided(occ: DataFrame, evidence: Evidence) -> DataFrame:
     """:func:`resolve` in the two passes that sandhi needs: the next characters, then all."""
+    return by_context(occ, lambda contexts: _decided(contexts, evidence))
+
+
+def _decided(occ: DataFrame, evidence: Evidence) -> DataFrame:
     following = occ.filter(F.col("pos") + 1 < F.length("line")).filter(F.col("char").isin("一", "不"))
     following = following.select("occurrence_id", "line", (F.col("pos") + 1).alias("pos")).withColumn("char", F.substring(F.col("line"), F.col("pos") + 1, F.lit(1)))
     tones = resolve(following, evidence).select("occurrence_id", tone_class(F.col("reading")).alias("tone"))
@@ -481,9 +506,12 @@ def rescued(occ: DataFrame, evidence: Evidence) -> DataFrame:
     again = first.filter(left_open).select("occurrence_id").join(occ, "occurrence_id")
     again = again.filter((F.coalesce("fallback", F.lit("")) != "") & c("fallback_pos").isNotNull() & coordinate_rescue_fits(c("line"), c("pos"), c("char")))
     again = cut(again.select("occurrence_id", "char", c("line").alias("own"), c("fallback").alias("line"), c("fallback_pos").alias("pos")))
-    second = decided(again.drop("own"), evidence).select("occurrence_id", c("reading").alias("r"), c("basis").alias("b"), c("strength").alias("s"), c("conflicting").alias("x"))
-    alone = _lexical(again.drop("own"), evidence.rules, "_l").select("occurrence_id", "_l")
-    looked = again.select("occurrence_id", (F.trim(F.coalesce("own", F.lit(""))) != "").alias("has_line")).join(second, "occurrence_id", "left").join(alone, "occurrence_id", "left")
+
+    def look(places: DataFrame) -> DataFrame:
+        second = _decided(places, evidence).select("occurrence_id", c("reading").alias("r"), c("basis").alias("b"), c("strength").alias("s"), c("conflicting").alias("x"))
+        return second.join(_lexical(places, evidence.rules, "_l"), "occurrence_id", "left")
+
+    looked = again.select("occurrence_id", (F.trim(F.coalesce("own", F.lit(""))) != "").alias("has_line")).join(by_context(again, look), "occurrence_id", "left")
     whole = c("r").isNotNull() & c("x").isNull() & (c("s") >= RESCUE_FROM) & ((c("b") == "exact") | c("has_line") & c("b").isin(*RESCUES))
     ruled = c("x").isNull() & c("_l.conflicting").isNull() & (c("_l.mode") == "exact") & (c("_l.strength") >= RESCUE_RULE_FROM)
     pick = F.when(whole, F.struct(c("r").alias("reading"), c("b").alias("basis"), c("s").alias("strength"))).when(ruled, F.struct(c("_l.reading").alias("reading"), c("_l.mode").alias("basis"), c("_l.strength").cast("int").alias("strength")))

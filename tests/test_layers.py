@@ -120,3 +120,17 @@ def test_rescue_and_hints(spark, evidence):
     assert all(r.got == r.want for r in got), got
     hints = expected.example_hints(occurrences(spark, [("他會計算開會", 1), ("沒有", 0)]), evidence.examples).collect()
     assert [(r.occurrence_id, r.hints) for r in hints] == [("o0", "會計→ㄎㄨㄞˋ；開會→ㄏㄨㄟˋ")]
+
+
+def test_each_place_of_a_line_is_searched_once(spark):
+    """Nine thousand occurrences at four places, nulls among them: four rows are searched, all are answered."""
+    places = [("重的", 0, "重"), ("重的", 1, "的"), (None, None, "重"), (None, None, None)]
+    occ = spark.createDataFrame([(str(k), *places[k % 4]) for k in range(9_000)], "occurrence_id string, line string, pos int, char string")
+    seen = []
+
+    def search(rows):
+        seen.append(rows.count())
+        return rows.select("occurrence_id", F.coalesce("char", F.lit("-")).alias("char"))
+
+    got = {r.occurrence_id: r.char for r in expected.by_context(occ, search).collect()}
+    assert seen == [4] and got == {str(k): places[k % 4][2] or "-" for k in range(9_000)}
