@@ -16,18 +16,20 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .components import cut
-
 # Marks of tones, the border of the tone's side, bands and symbols at most.
 TONE_MARKS = {"2": "ˊ", "3": "ˇ", "4": "ˋ"}
 NEUTRAL_MARK = "˙"
 TONE_SIDE = 330
 MOST_BANDS, MOST_SYMBOLS = 8, 3
+#: Templates up to which all tasks are sent all of them.
+SENT_TEMPLATES = 100_000
 STACK_LEAST, STACK_SHARE = 5.0, 0.15
 BAND_SHARE, BAND_CENTRE = 0.45, 0.22
 
@@ -63,15 +65,64 @@ def outline(contours: list[list[tuple[int, int, int]]]) -> tuple | None:
     return max(p[0] for p in points) - left, max(p[1] for p in points) - low, tuple(sorted(cycles))
 
 
+#: Groups and contours a worker remembers, each from its own corner.
+REMEMBERED = 200_000
+_known: dict[tuple[bytes, bytes], str] = {}
+_cycles: dict[tuple, list] = {}
+
+
+def _cycle(contour: list[tuple[int, int, int]]) -> tuple:
+    """The contour from its least point and direction; that choice doesn't depend on where it lies."""
+    if not contour:
+        return ()
+    left, low = min(p[0] for p in contour), min(p[1] for p in contour)
+    own = tuple((x - left, y - low, on) for x, y, on in contour)
+    found = _cycles.get(own)
+    if found is None:
+        if len(_cycles) >= REMEMBERED:
+            _cycles.clear()
+        found = _cycles[own] = min(least_rotation(list(own)), least_rotation(list(own[::-1])))
+    return tuple((x + left, y + low, on) for x, y, on in found)
+
+
+def _signature(contours: list[list[tuple[int, int, int]]]) -> str:
+    """The signature of a group that lies at its own corner."""
+    points = [p for c in contours for p in c]
+    told = max(p[0] for p in points), max(p[1] for p in points), tuple(sorted(map(_cycle, contours)))
+    return hashlib.sha1(repr(told).encode()).hexdigest()
+
+
+def signatures(groups: pa.Array) -> list[str]:
+    """Signatures of groups of contours; equal groups of a worker are worked out once."""
+    contours = groups.flatten()
+    sizes = [pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64) for a in (groups, contours)]
+    columns = np.stack([f.to_numpy(zero_copy_only=False).astype(np.int64) for f in contours.flatten().flatten()], axis=1)
+    ends = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
+    bounds = ends[1][ends[0]]  # the points of each group
+    filled = np.flatnonzero(np.diff(bounds))
+    if len(filled):
+        corner = np.minimum.reduceat(columns[:, :2], bounds[:-1][filled], axis=0)
+        columns[:, :2] -= np.repeat(corner, np.diff(bounds)[filled], axis=0)
+    points, lengths = columns.tobytes(), sizes[1].tobytes()
+    out = [""] * len(groups)
+    firsts, places = ends[0].tolist(), bounds.tolist()
+    for g in filled.tolist():
+        lo, hi, a, b = firsts[g], firsts[g + 1], places[g], places[g + 1]
+        key = points[24 * a : 24 * b], lengths[8 * lo : 8 * hi]
+        found = _known.get(key)
+        if found is None:
+            if len(_known) >= REMEMBERED:
+                _known.clear()
+            rows, at = list(map(tuple, columns[a:b].tolist())), (ends[1][lo : hi + 1] - a).tolist()
+            found = _known[key] = _signature([rows[i:j] for i, j in zip(at, at[1:], strict=False)])
+        out[g] = found
+    return out
+
+
 @F.arrow_udf(StringType())
 def signature(groups: pa.Array) -> pa.Array:
     """SHA-1 of the outline as its tuple is written; empty for a group without points."""
-
-    def of(group) -> str:
-        found = outline([[(p["x"], p["y"], p["on"]) for p in c or ()] for c in group]) if group is not None else None
-        return hashlib.sha1(repr(found).encode()).hexdigest() if found else ""
-
-    return pa.array([of(g) for g in groups.to_pylist()], pa.string())
+    return pa.array(signatures(groups), pa.string())
 
 
 @F.arrow_udf(StringType())
@@ -166,28 +217,42 @@ def recombine(glyphs: DataFrame, templates: DataFrame) -> DataFrame:
     sources count only if they were seen directly.
     """
     known = templates.filter("support_keys >= 2 OR direct").groupBy("kind", "outline_signature").agg(F.min("label").alias("label"), F.max("label").alias("_l")).filter("label = _l").drop("_l")
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    known = known.groupBy("outline_signature").agg(of("symbol", F.col("label")).alias("symbol"), of("tone", F.col("label")).alias("tone"), of("neutral", F.lit(1)).alias("neutral"))
+    if known.limit(SENT_TEMPLATES + 1).count() <= SENT_TEMPLATES:
+        known = F.broadcast(known)
     split = glyphs.select("key", "contours", tone_contour("contours").alias("tone_at"))
     split = split.withColumn("bands", bands("contours", "coalesce(tone_at, -1)")).withColumn("n", F.size("bands"))
     whole = f"n <= {MOST_BANDS + 1}"  # one may be the neutral mark
     pieces = f"flatten(transform(sequence(0, n - 1), i -> transform(sequence(i + 1, if({whole}, n, i + 1)), j -> struct('symbol' AS kind, i AS i, j AS j, flatten(slice(bands, i + 1, j - i)) AS members))))"
     tone = "if(tone_at IS NULL, array(), array(struct('tone' AS kind, -1 AS i, -1 AS j, array(tone_at) AS members)))"
-    asked = split.select("key", "contours", F.explode(F.expr(f"concat(if(n > 0, {pieces}, array()), {tone})")).alias("p"))
-    signed = cut(asked.select("key", "p.kind", "p.i", "p.j", signature(F.transform("p.members", lambda m: F.get("contours", m))).alias("outline_signature")))
-
-    of = lambda kind: known.filter(F.col("kind") == kind).select("outline_signature", "label")
-    segments = cut(signed.filter("kind = 'symbol'").join(of("symbol"), "outline_signature").select("key", "i", "j", "label"))
-    neutral = signed.filter("kind = 'symbol' AND i = 0 AND j = 1").join(of("neutral"), "outline_signature").select("key", F.lit(1).alias("first"))
-    toned = signed.filter("kind = 'tone'").join(of("tone"), "outline_signature", "left").select("key", F.lit(True).alias("has_tone"), F.col("label").alias("tone"))
-    rows = split.select("key", "n").join(neutral, "key", "left").join(toned, "key", "left").na.fill(0, ["first"])
+    glyph = "array(struct('glyph' AS kind, -1 AS i, -1 AS j, cast(array() AS array<int>) AS members))"
+    asked = split.select("key", "contours", "n", F.explode(F.expr(f"concat({glyph}, if(n > 0, {pieces}, array()), {tone})")).alias("p"))
+    signed = asked.select("key", "n", "p.kind", "p.i", "p.j", signature(F.transform("p.members", lambda m: F.get("contours", m))).alias("outline_signature"))
+
+    # a glyph's pieces stay together, so that nothing but one row for each glyph is left
+    told = signed.join(known, "outline_signature", "left")
+    is_symbol, is_tone = F.col("kind") == "symbol", F.col("kind") == "tone"
+    rows = told.groupBy("key").agg(
+        F.max("n").alias("n"), F.max(F.when(is_tone, True)).alias("has_tone"), F.max(F.when(is_tone, F.col("tone"))).alias("tone"),
+        F.coalesce(F.max(F.when(is_symbol & (F.col("i") == 0) & (F.col("j") == 1), F.col("neutral"))), F.lit(0)).alias("first"),
+        F.collect_list(F.when(is_symbol & F.col("symbol").isNotNull(), F.struct("i", "j", F.col("symbol").alias("label")))).alias("segments"),
+    )
     left = F.col("n") - F.col("first")
     reason = F.when(F.col("n") == 0, "no_symbol_groups").when(left == 0, "neutral_without_base").when((F.col("first") == 1) & F.col("has_tone"), "neutral_plus_right_tone").when(F.col("has_tone") & F.col("tone").isNull(), "unknown_tone_signature")
-    rows = cut(rows.withColumn("stopped", reason).withColumn("left", left))
-
-    open_ = rows.filter(f"stopped IS NULL AND left <= {MOST_BANDS}")
-    singles = segments.filter("j = i + 1").join(open_.filter(f"left <= {MOST_SYMBOLS}").select("key", "first", "left"), "key").filter("i >= first")
-    direct = singles.groupBy("key", "left").agg(F.count(F.lit(1)).alias("m"), F.array_sort(F.collect_list(F.struct("i", "label"))).alias("l")).filter("m = left").select("key", F.array_join(F.transform("l", lambda x: x["label"]), "").alias("direct"))
-    cuts = one_reading(segments, open_.join(direct, "key", "left_anti").select("key", "first", "n"))
-    found = rows.join(direct, "key", "left").join(cuts, "key", "left")
+    rows = rows.withColumn("stopped", reason).withColumn("left", left)
+
+    singles = F.expr("array_sort(filter(segments, s -> s.j = s.i + 1 AND s.i >= first))")
+    direct = F.when((F.col("left") <= MOST_SYMBOLS) & (F.size("_singles") == F.col("left")), F.array_join(F.transform("_singles", lambda s: s["label"]), ""))
+    found = rows.withColumn("_singles", singles).withColumn("direct", direct)
+    found = found.withColumn("_s0", F.array(F.struct(F.col("first").alias("pos"), F.lit("").alias("least"), F.lit("").alias("greatest"))))
+    for k in range(MOST_SYMBOLS):  # after k pieces a place is known by its least and greatest reading, as in one_reading
+        on = f"transform(filter(_s{k}, f -> exists(segments, s -> s.i = f.pos AND s.j = e)), f -> struct(concat(f.least, filter(segments, s -> s.i = f.pos AND s.j = e)[0].label) AS least, concat(f.greatest, filter(segments, s -> s.i = f.pos AND s.j = e)[0].label) AS greatest))"
+        ends = "array_distinct(transform(segments, s -> s.j))"
+        step = f"filter(transform({ends}, e -> struct(e AS pos, array_min(transform({on}, w -> w.least)) AS least, array_max(transform({on}, w -> w.greatest)) AS greatest)), x -> x.least IS NOT NULL)"
+        found = found.withColumn(f"_s{k + 1}", F.expr(f"if(stopped IS NULL AND left <= {MOST_BANDS} AND direct IS NULL, {step}, array())"))
+    ways = f"filter(concat({', '.join(f'_s{k + 1}' for k in range(MOST_SYMBOLS))}), x -> x.pos = n)"
+    found = found.withColumn("_w", F.expr(ways)).withColumns({"least": F.array_min(F.transform("_w", lambda w: w["least"])), "greatest": F.array_max(F.transform("_w", lambda w: w["greatest"]))})
     base = F.coalesce("direct", F.when(F.col("least") == F.col("greatest"), F.col("least")))
     mark = F.coalesce(*(F.when(F.col("tone") == t, m) for t, m in TONE_MARKS.items()), F.lit(""))
     reading = F.when(F.col("first") == 1, F.concat(F.lit(NEUTRAL_MARK), base)).otherwise(F.concat(base, mark))

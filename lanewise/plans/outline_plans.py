@@ -41,12 +41,19 @@ SELECT o, i, CASE WHEN rev = 1 THEN n - 1 - (k + rot) % n ELSE (k + rot) % n END
          CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS tone FROM lineitem) AS l JOIN (VALUES {_POINTS}) AS p(shape, k, n, x, y, pen) ON shape = kind"""
 
 
+#: A line's contour: its part's shape, turned and moved; SQL's ``_PLACED`` says the same by rows.
+_SHAPED = "array(" + ", ".join("array(" + ", ".join(f"named_struct('x', {x}, 'y', {y}, 'pen', {on})" for x, y, on in shape) + ")" for shape in SHAPES) + ")"
+_TONE = "CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END"
+_TURNED = "CASE WHEN l_suppkey % 2 = 1 THEN size(shape) - 1 - (k + l_suppkey) % size(shape) ELSE (k + l_suppkey) % size(shape) END"
+_CONTOUR = f"""transform(array_sort(transform(shape, (p, k) -> struct({_TURNED} AS pos, CAST(p.x + 100 + l_orderkey % 3 + {_TONE} * 300 AS INT) AS x,
+  CAST(p.y + 1000 - {STEP} * l_linenumber + l_orderkey % 5 AS INT) AS y, p.pen AS on))), p -> struct(p.x AS x, p.y AS y, p.on AS on))"""
+_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
 def _glyphs(spark: SparkSession, d: str) -> DataFrame:
-    read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus").createOrReplaceTempView("outline_lines")
-    points = spark.sql(_PLACED.replace("FROM lineitem", "FROM outline_lines"))
-    lines = points.groupBy("o", "i").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", F.col("pen").cast("int").alias("on")))).alias("c"))
-    contours = F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda l: F.transform(l["c"], lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["on"].alias("on"))))
-    return lines.groupBy(F.col("o").alias("key")).agg(contours.alias("contours"))
+    lines = read(spark, d, "lineitem", "l_orderkey", *_ORDER, "l_returnflag", "l_linestatus").filter(f"l_partkey % 5 BETWEEN 0 AND {len(SHAPES) - 1}")
+    drawn = lines.withColumn("shape", F.expr(f"element_at({_SHAPED}, CAST(l_partkey % 5 AS INT) + 1)")).withColumn("c", F.expr(_CONTOUR))
+    return drawn.groupBy(F.col("l_orderkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, "c"))), lambda l: l["c"]).alias("contours"))
 
 
 def _labels() -> list[tuple[str, list, str, int, bool]]:

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from lanewise.operators import outlines
@@ -144,3 +145,18 @@ def test_recombine(spark):
         "empty": (None, "no_symbol_groups", None), "many": (None, "partition_bad_group_count", None), "conflict": (None, "partition_unknown_symbol", None),
     }
     assert outlines.recombine(spark.createDataFrame([], f"key string, {CONTOURS}"), templates).count() == 0
+
+
+def test_equal_groups_are_worked_out_once(spark, monkeypatch):
+    """Six hundred glyphs of three shapes, wherever they lie: three are worked out, all have the plain signature."""
+    shapes = [[[(0, 0, 1), (40, 0, 1), (20, 40, 0)]], [[(0, 0, 1), (9, 0, 1)], [], [(5, 5, 1)]], [[(0, 0, 1), (40, 0, 1), (20, 40, 0)], [(3, 7, 1)]]]
+    groups = [[[(x + 7 * k, y - 3 * k, on) for x, y, on in c] for c in shapes[k % 3]] for k in range(600)] + [[], [[]], None]
+    told = []
+    plain = outlines._signature
+    monkeypatch.setattr(outlines, "_signature", lambda contours: told.append(1) or plain(contours))
+    outlines._known.clear()
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("on", pa.int32())])))
+    rows = [g and [[dict(zip(("x", "y", "on"), p, strict=True)) for p in c] for c in g] for g in groups]
+    want = [hashlib.sha1(repr(outlines.outline(g)).encode()).hexdigest() for g in groups[:600]]
+    assert outlines.signatures(pa.array(rows, kind)) == want + [""] * 3 and len(told) == 3
+    assert outlines.signatures(pa.array(rows, kind).slice(1, 5)) == want[1:6]
