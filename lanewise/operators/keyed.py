@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def argmax_dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "max") -> DataFrame:
@@ -104,35 +107,78 @@ def first_differing_pair(df: DataFrame, keys: Sequence[str], member: str, axes:
     """Per key the least pair of members that differ on every axis; a null differs from nothing.
 
     No pairs are made of a key's rows: they go through one pass in order of the
-    member, streamed from a sort that spills. Of the rows seen only those are held
-    that can still be a least partner (:class:`FirstAvoiding`), whatever a key's
-    size: at most 326 for five axes.
+    member, streamed from a sort that spills. Most keys are settled by their first
+    member, if only one row has it: the first later row that differs from it on every
+    axis makes the least pair, found for a whole batch at once. Where none does so, the rows go
+    one by one, and of those seen only what can still be a least partner is held
+    (:class:`FirstAvoiding`), whatever a key's size: at most 326 for five axes.
     """
     names = [f"_x{i}" for i in range(len(axes))]
     kinds = dict(df.dtypes)
-    rows = df.select(*keys, member, *(F.col(a).cast("string").alias(n) for a, n in zip(axes, names, strict=True))).dropna(subset=[*keys, member, *names]).distinct()
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, member, *names)
+    plain = ("string", "tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp", "binary")
+    told = {a: F.col(a) if kinds[a] in plain else F.col(a).cast("string") for a in axes}  # as text NaN equals itself and -0 isn't 0
+    rows = df.select(*keys, member, *(told[a].alias(n) for a, n in zip(axes, names, strict=True))).dropna(subset=[*keys, member, *names])
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, member, *names).select(*keys, member, *names)
+    columns = [*keys, "first_id", "second_id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree, best = None, None, None
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False, name=None):
-                key, own, values = row[: len(keys)], row[len(keys)], row[len(keys) + 1 :]
+        settled = False  # whether no later row of the key can better its pair
+        for batch in batches:
+            n, out = batch.num_rows, []
+            if not n:
+                continue
+            starts = _starts(batch, keys)
+            ends = np.append(starts[1:], n)
+            lead = np.repeat(starts, ends - starts)
+            away = _differs(batch, [member], lead)
+            for name in names:
+                away &= _differs(batch, [name], lead)
+            hits = np.flatnonzero(away)
+            nth = np.searchsorted(hits, starts)
+            for start, end, hit in zip(starts.tolist(), ends.tolist(), np.append(hits, n)[nth].tolist(), strict=True):
+                key = tuple(batch.column(k)[start].as_py() for k in keys)
                 if key != at:
                     if best is not None:
                         out.append((*at, *best))
-                    at, tree, best = key, FirstAvoiding(), None
-                partner = tree.first(values)
-                if partner is not None and partner != own and (best is None or partner < best[0]):
-                    best = (partner, own)
-                tree.add(own, values)
-            yield pd.DataFrame(out, columns=[*keys, "first_id", "second_id"])
+                    at, tree, best, settled = key, None, None, False
+                    own = batch.column(len(keys))
+                    if hit < end and own[start] != own[start + 1]:
+                        best, settled = (own[start].as_py(), own[hit].as_py()), True
+                if settled:
+                    continue
+                tree = tree or FirstAvoiding()
+                for row in zip(*(batch.column(c).slice(start, end - start).to_pylist() for c in range(len(keys), batch.num_columns)), strict=True):
+                    own, values = row[0], row[1:]
+                    partner = tree.first(values)
+                    if partner is not None and partner != own and (best is None or partner < best[0]):
+                        best = (partner, own)
+                    tree.add(own, values)
+            yield _told(out)
         if best is not None:
-            yield pd.DataFrame([(*at, *best)], columns=[*keys, "first_id", "second_id"])
+            yield _told([(*at, *best)])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"first_id {kinds[member]}", f"second_id {kinds[member]}"])
-    return dealt.mapInPandas(run, schema)
+    types = to_arrow_schema(df.select(*keys, F.col(member).alias("first_id"), F.col(member).alias("second_id")).schema)
+    _told = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], types.field(k).type) for k in range(len(columns))], columns)
+    return dealt.mapInArrow(run, schema)
+
+
+def _differs(batch: pa.RecordBatch, columns: Sequence[str], other: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the row at ``other`` on some of the columns, none of them null."""
+    found = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        column = batch.column(c)
+        found |= pc.not_equal(column, column.take(pa.array(other))).to_numpy(zero_copy_only=False)
+    return found
+
+
+def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """The first row of each run of equal keys."""
+    before = np.maximum(np.arange(batch.num_rows) - 1, 0)
+    found = _differs(batch, keys, before)
+    found[0] = True
+    return np.flatnonzero(found)
 
 
 class FirstAvoiding:
