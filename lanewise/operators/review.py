@@ -7,8 +7,10 @@ import operator
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import keyed, ledger
 from .components import connected, cut
@@ -201,14 +203,44 @@ def independent_sources(evidence: DataFrame) -> DataFrame:
     """``glyph_id, independent``: how many sources of a glyph differ pairwise in project, file and font.
 
     Only evidence that ``counts_toward_global_quorum`` is counted, where that column is there.
-    Before anything is searched, sources that can stand for others are told by counts
+    Glyphs of up to ``FEW_ROWS`` rows are searched where their rows meet. For larger ones,
+    before anything is searched, sources that can stand for others are told by counts
     alone: a source whose other two values nothing else has can replace every source
     it shares the third with. What is left falls into parts without common values; each part
     is searched by itself, exactly, and their numbers add up.
     """
     axes = ["project_id", "pdf_sha256", "font_sha256"]
     counted = evidence.filter("counts_toward_global_quorum = 1") if "counts_toward_global_quorum" in evidence.columns else evidence
-    sources = cut(counted.select("glyph_id", *(F.coalesce(F.col(a), F.lit("")).alias(a) for a in axes)).distinct())
+    told = counted.select("glyph_id", *(F.coalesce(F.col(a), F.lit("")).alias(a) for a in axes))
+    large = cut(told.groupBy("glyph_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW_ROWS).select("glyph_id"))
+    some = not large.isEmpty()
+    few = (told.join(large, "glyph_id", "left_anti") if some else told).groupBy("glyph_id").agg(F.array_sort(F.collect_set(F.struct(*axes))).alias("s"))
+    each = few.select("glyph_id", _searched("s").alias("n"))
+    if some:
+        each = each.unionByName(_of_large(cut(told.join(large, "glyph_id", "left_semi").distinct()), axes))
+    return evidence.select("glyph_id").distinct().join(each, "glyph_id", "left").na.fill(0, ["n"]).select("glyph_id", F.col("n").cast("int").alias("independent"))
+
+
+#: Rows up to which a glyph is searched as a whole, in the row that holds its sources.
+FEW_ROWS = 64
+
+
+@F.arrow_udf(LongType())
+def _searched(sources: pa.Array) -> pa.Array:
+    """How many of each row's sources differ pairwise on every axis; like patterns of equal values are searched once."""
+    known: dict[tuple, int] = {}
+    out = []
+    for row in sources.to_pylist():
+        numbers: list[dict] = [{} for _ in row[0]] if row else []
+        pattern = tuple(tuple(n.setdefault(v, len(n)) for n, v in zip(numbers, s.values(), strict=True)) for s in row)
+        if pattern not in known:
+            known[pattern] = _most_distinct(list(pattern))
+        out.append(known[pattern])
+    return pa.array(out, pa.int64())
+
+
+def _of_large(sources: DataFrame, axes: list[str]) -> DataFrame:
+    """``glyph_id, n`` of glyphs of any size, over tables of their distinct sources."""
     alone, rest = None, sources
     while not rest.isEmpty():
         marked = rest
@@ -238,5 +270,4 @@ def independent_sources(evidence: DataFrame) -> DataFrame:
     each = grouped.groupBy("glyph_id", "root").applyInPandas(search, "glyph_id string, n long")
     if alone is not None:
         each = each.unionByName(alone.groupBy("glyph_id").agg(F.count(F.lit(1)).alias("n")))
-    sums = each.groupBy("glyph_id").agg(F.sum("n").cast("int").alias("independent"))
-    return evidence.select("glyph_id").distinct().join(sums, "glyph_id", "left").na.fill(0, ["independent"])
+    return each.groupBy("glyph_id").agg(F.sum("n").alias("n"))
