@@ -9,7 +9,7 @@ a stage that changes the text sets ``n_chars`` to the new length.
   model rejects (its threshold keeps confident documents of every language);
 * SimHash near-dedup keeps the smallest doc_id of each group of documents whose
   sets of five-word shingles have a Jaccard similarity of 0.8 or more; it is
-  counted on the sets, and SimHash only keeps other pairs from being counted;
+  counted on the sets, for pairs that SimHash groups and pivot tables find;
 * suffix-array dedup removes bytes of repeated 100-byte strings, then the
   documents of which nothing is left; a cut inside a character drops its bytes;
 * decontamination drops documents that hold a benchmark item within the error

@@ -160,9 +160,13 @@ def blocks_of_groups(ws: Workspace, df: DataFrame, key: str, member: str, block:
     Rows of hot groups are dealt where they are, without meeting in a task.
     """
     sizes = ws.write(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), name)
-    sized = join_hot(df, sizes, key, "_n")
+    return deal_blocks(join_hot(df, sizes, key, "_n"), key, [member], block)
+
+
+def deal_blocks(sized: DataFrame, key: str, members: list[str], block: int) -> DataFrame:
+    """The split of ``blocks_of_groups`` for rows that have their group's size in ``_n``."""
     blocks = F.ceil(F.col("_n") / F.lit(block))
-    sized = sized.withColumn("_b", blocks).withColumn("blk", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_b")).cast("int"))
+    sized = sized.withColumn("_b", blocks).withColumn("blk", F.pmod(F.xxhash64(*members, F.lit(7)), F.col("_b")).cast("int"))
     sized = sized.withColumn("_x", F.explode(F.sequence(F.lit(0), (F.col("_b") - 1).cast("int"))))
     sized = sized.withColumn("own", F.least("blk", "_x")).withColumn("other", F.greatest("blk", "_x"))
     return sized.withColumn("unit", F.xxhash64(F.col(key), F.col("own"), F.col("other"))).drop("_n", "_b", "_x")

@@ -1,21 +1,26 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets.
+"""Near-duplicates: SimHash groups and pivot distance tables, then the exact Jaccard similarity.
 
 Two documents are linked where their sets of shingles are at least ``LEAST`` =
-4/5 similar; a document's group is its connected component. No sketch decides:
-
-* Candidates share a key. Shingles have one order for all documents, and a set of
-  n gives its first n // 5 + 1 as keys. Two sets that are 0.8 similar have at
-  least 4n / 5 common shingles for either n, so they share a key: none is lost.
-  The order puts shingles last that are common in a sample, so that a passage in
-  many documents makes no hot group; any order is right, so the sample only
-  changes the work.
-* Within a key's group, sizes must be within 4/5 of each other and 512-bit
-  SimHashes of the sets within ``SLACK`` bits. Sets at 0.8 differ in 96 bits on
-  average at worst (4 of 5 shingles) and in 77 if they are large; 166 is eight standard
-  errors above the worst, so the chance to lose a pair here is below 1e-11.
+4/5 similar; a document's group is its connected component. SimHash finds the
+candidates, and no sketch decides:
+
+* A set has a 512-bit SimHash. As in ``simhash``, fingerprints meet where they share
+  bits: each of many tables takes some ``bits`` of the first ``KEY_BITS`` by fixed
+  random places, as many as leave about ``IN_GROUP`` fingerprints in a group, and
+  the number of tables makes up for those a pair may differ in. Sets at 0.8 differ in
+  15 % of the bits; with the numbers of ``table_plan`` some 1 in 100,000 pairs at exactly
+  0.8 meets in no table, and fewer above it (the README has figures).
+* In a group, sizes must be within 4/5 of each other. A table holds each row's distances
+  to ``PIVOTS`` rows of its own group; by the triangle inequality pairs whose
+  distances differ by more than ``RADIUS`` are discarded, and those left are
+  counted over the 128 bits that no key takes.
+* SimHash is coarse for few shingles: sets at 4 of 5 differ in 19 % of the bits. Sets of up to
+  ``FEW`` shingles therefore meet by the first n // 5 + 1 of them as well, of which similar
+  ones share one, and are counted over 128 other bits there; larger sets meet by SimHash alone.
 * Spanning edges of the candidates give loose clusters. The sets of their members,
   and of no other document, are made again from the text, and pairs inside a
-  cluster are compared set against set, nearest fingerprints first, unless
+  cluster whose whole fingerprints differ in at most ``SLACK`` bits (eight standard errors
+  above the worst mean) are compared set against set, nearest fingerprints first, unless
   verified links connect them already.
 
 Groups and clusters above their block size are split into pairs of blocks; only
@@ -37,16 +42,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks_of_groups, by_group, connected_components, join_hot, local_components, text_bytes, worker_cache
+from .common import Workspace, blocks_of_groups, by_group, connected_components, deal_blocks, join_hot, local_components, text_bytes, worker_cache
 from .simhash import as_words, fingerprint, shingle_hashes
 
 LEAST = (4, 5)
 WORDS = 8
 SLACK = 166
-#: Documents of the sample, occurrences in it that make a shingle common, and how many are kept.
-SAMPLE = 5_000
-COMMON = 10
-MOST_COMMON = 100_000
+#: Bits that keys are drawn from; the others are counted inside groups, where pairs differ in at most ``RADIUS`` of them.
+KEY_BITS = 384
+RADIUS = 40
+#: Bits of a key at least, fingerprints that a group is to hold beyond that, tables for keys of no bits, and the chance that a pair at 0.8 has an equal bit.
+LEAST_BITS = 4
+IN_GROUP = 48
+TABLES = 17.7
+EQUAL_BIT = 0.848
+TABLE_SEED = 20_202
+PIVOTS = 4
+#: Sets of up to so many shingles meet by shingles too.
+FEW = 24
 GROUP_BLOCK = 2_048
 CLUSTER_BLOCK = 256
 FILTER_BITS = 24
@@ -67,46 +80,79 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~last], hashes[last]])[: len(hashes) - -(-least * len(hashes) // of) + 1]
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of many documents of a sample."""
+def prints(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, digest, fp, size, few)`` of every whole text; ``few``: the keys of a small set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("neardup")
+        none = np.zeros(0, dtype=np.uint64)
         for batch in batches:
+            digests, fps, sizes, few = [], [], [], []
             for text in text_bytes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width).view(np.int64))], ["shingle"])
+                hashes = shingle_set(text, width)
+                digests.append(digest(hashes))
+                fps.append(fingerprint(hashes, WORDS))
+                sizes.append(len(hashes))
+                few.append(prefix(hashes, none).view(np.int64) if 0 < len(hashes) <= FEW else [])
+            columns = [pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "digest", "fp", "size", "few"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, fp binary, size int, few array<long>")
+
+
+def table_plan(count: int) -> np.ndarray:
+    """The places of the bits that each table takes, for so many fingerprints: tables x bits."""
+    bits = max(LEAST_BITS, round(np.log2(max(count, 1) / IN_GROUP)))
+    rng = np.random.default_rng(TABLE_SEED)
+    return np.stack([rng.choice(KEY_BITS, bits, replace=False) for _ in range(int(np.ceil(TABLES / EQUAL_BIT**bits)))])
+
 
-    nth = max(1, -(-docs.count() // SAMPLE))
-    sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(nth)) == 0).select("text")
-    counts = sampled.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    rows = counts.filter(F.col("times") >= COMMON).orderBy(F.desc("times"), "shingle").limit(MOST_COMMON).collect()
-    return np.array([r.shingle for r in rows], dtype=np.int64).view(np.uint64)
+def table_keys(fps: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """The key of each fingerprint in each table."""
+    bits = np.unpackbits(fps.view(np.uint8), axis=1)
+    codes = bits[:, plan] @ (1 << np.arange(plan.shape[1], dtype=np.int64))
+    return codes | np.arange(len(plan), dtype=np.int64) << 32
 
 
-def prints(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """``(doc_id, digest, fp, size, keys)`` of every whole text."""
+def group_rows(first: DataFrame, plan: np.ndarray) -> DataFrame:
+    """``(key, rep, size, low, high)``: a skinny row for each group that a fingerprint joins, with the bits to count there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("neardup")
         for batch in batches:
-            digests, fps, sizes, keys = [], [], [], []
-            for text in text_bytes(batch.column("text")):
-                hashes = shingle_set(text, width)
-                digests.append(digest(hashes))
-                fps.append(fingerprint(hashes, WORDS))
-                sizes.append(len(hashes))
-                keys.append(prefix(hashes, common).view(np.int64))
-            columns = [pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "digest", "fp", "size", "keys"])
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                fps = as_words(part.column("fp"), part.num_rows)
+                few = part.column("few").to_pylist()
+                keys = np.concatenate([table_keys(fps, plan).ravel(), np.array([k for ks in few for k in ks], dtype=np.int64) | np.int64(-(1 << 63))])
+                row = np.concatenate([np.repeat(np.arange(len(fps)), len(plan)), np.repeat(np.arange(len(fps)), [len(ks) for ks in few])])
+                rep, size = (part.column(c).to_numpy()[row] for c in ("rep", "size"))
+                other = np.arange(len(row)) >= part.num_rows * len(plan)  # groups of shingles count words of their own
+                low, high = (np.where(other, fps[row, k], fps[row, KEY_BITS // 64 + k]).view(np.int64) for k in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, rep, size, low, high)], ["key", "rep", "size", "low", "high"])
+
+    return first.select("rep", "size", "fp", "few").mapInArrow(run, "key long, rep long, size int, low long, high long")
+
+
+def dealt_groups(ws: Workspace, first: DataFrame, plan: np.ndarray, block: int) -> DataFrame:
+    """The groups' rows with hot groups split into pairs of blocks, as in ``blocks_of_groups``.
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, fp binary, size int, keys array<long>")
+    Only groups above ``block`` need their size, and roughly: it is counted on one
+    fingerprint in ``block // 128``, which leaves their keys few enough to meet the rows by
+    broadcast, where they are. Which rows are counted only changes the blocks.
+    """
+    nth = max(1, block // 128)
+    counted = group_rows(first.filter(F.pmod(F.xxhash64("digest"), F.lit(nth)) == 0), plan)
+    hot = ws.write(counted.groupBy("key").agg((F.count(F.lit(1)) * nth).alias("_n")).filter(F.col("_n") > block), "hot")
+    return deal_blocks(group_rows(first, plan).join(F.broadcast(hot), "key", "left").fillna(1, ["_n"]), "key", ["rep", "low"], block)
 
 
-def candidate_pairs(whole: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(whole: pa.Table, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Indices of candidates that span all candidate pairs, of rows sorted by unit and size."""
-    unit, size, own, other, blk = (whole.column(c).to_numpy() for c in ("unit", "size", "own", "other", "blk"))
-    fps = as_words(whole.column("fp"), len(unit))
+    unit, size, own, other, blk, low, high = (whole.column(c).to_numpy() for c in ("unit", "size", "own", "other", "blk", "low", "high"))
+    sketch = np.stack([low, high], axis=1).view(np.uint64)  # bits of signed numbers count those of the absolute value
     lead = np.searchsorted(unit, unit)
-    led = np.bitwise_count(fps ^ fps[lead]).sum(axis=1, dtype=np.int64) <= SLACK
+    count = np.searchsorted(unit, unit, side="right") - lead
+    tables = [np.bitwise_count(sketch ^ sketch[lead + count * k // PIVOTS]).sum(axis=1, dtype=np.int16) for k in range(PIVOTS)]
+    led = tables[0] <= radius
     left, right = [lead[led]], [np.flatnonzero(led)]
     at = np.arange(len(unit) - 1)
     step = 1
@@ -118,7 +164,10 @@ def candidate_pairs(whole: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         at, to = at[near], to[near]  # later rows are larger: a start that left the window never comes back
         test = ((own[at] == other[at]) | (blk[at] != blk[to])) & ~(led[at] & led[to])  # the leader joins those already
         a, b = at[test], to[test]
-        hit = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= SLACK
+        for distances in tables:
+            kept = np.abs(distances[a] - distances[b]) <= radius
+            a, b = a[kept], b[kept]
+        hit = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int16) <= radius
         left.append(a[hit])
         right.append(b[hit])
         step += 1
@@ -190,15 +239,14 @@ def near_groups(docs: DataFrame, width: int, block: int = GROUP_BLOCK, cluster_b
     """``(doc_id, component_id)`` for every document of ``docs``."""
     ws = Workspace(docs.sparkSession, "neardup")
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = ws.write(prints(docs, width, common_shingles(docs, width)), "prints")
+    coded = ws.write(prints(docs, width), "prints")
     named = ws.write(coded.select("doc_id", "digest").distinct(), "named")
     reps = ws.write(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
     first = coded.withColumnRenamed("doc_id", "rep").join(reps.drop("n"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
     first = ws.write(first, "first")
     ws.drop("prints")
 
-    dealt = blocks_of_groups(ws, first.select("rep", "digest", F.explode("keys").alias("key")), "key", "digest", block)
-    dealt = dealt.select("unit", "own", "other", "blk", "rep", "digest").join(first.select("rep", "digest", "size", "fp"), ["rep", "digest"]).drop("digest")
+    dealt = dealt_groups(ws, first, table_plan(first.count()), block).select("unit", "own", "other", "blk", "rep", "size", "low", "high")
     loose = by_group(dealt, "unit", ["size", "rep"], lambda whole: _spanning(whole.column("rep").to_numpy(), *candidate_pairs(whole)), "src long, dst long")
     clusters = ws.write(connected_components(ws, loose, "loose"), "clusters")
 
