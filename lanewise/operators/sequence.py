@@ -7,9 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .components import cut
 
@@ -95,6 +96,23 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def scored_pairs(pairs: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """``pairs`` with the similarity of two texts in their place.
+
+    Each pair is worked out once, row by row in the task's one Python worker: a filter on
+    the result of a scalar function works it out again, in a second worker beside it.
+    """
+    names = [c for c in pairs.columns if c not in (left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column(left), batch.column(right), strict=True)
+            scores = pa.array([ratio(a.as_py(), b.as_py()) for a, b in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), scores], [*names, out])
+
+    return pairs.mapInArrow(run, StructType([*pairs.select(*names).schema.fields, StructField(out, DoubleType())]))
+
+
 def opcodes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Edit steps from ``left`` to ``right`` by words: kind, ranges and the words themselves."""
 

@@ -146,5 +146,5 @@ def greedy_page_pairing(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations", "conv_id", "turn", "role", "text").withColumn("grp", F.col("conv_id").cast("string"))
     ask = turns.filter("role = 'user'").select("grp", F.col("turn").alias("left_id"), F.col("text").alias("a"))
     reply = turns.filter("role = 'assistant'").select("grp", F.col("turn").alias("right_id"), F.col("text").alias("b"))
-    scored = ask.join(reply, "grp").withColumn("score", F.round(sequence.similarity("a", "b"), 6)).select("grp", "left_id", "right_id", "score")
+    scored = sequence.scored_pairs(ask.join(reply, "grp"), "a", "b", "score").withColumn("score", F.round("score", 6))
     return sequence.greedy_pairs(scored, "grp", "left_id", "right_id", "score", 0.05)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise.operators import revision, sequence
+from lanewise.plans import match_plans
 
 
 def plain_greedy(rows, order):
@@ -105,3 +106,17 @@ def test_pages_of_one_text_are_not_multiplied(spark):
     few = revision.nearest_greedy(old.limit(60), new.filter("new_number < 180"), links, 99).collect()
     assert sorted(map(tuple, few)) == plain_greedy(rows, lambda r: (r[2], -abs(r[0] - r[1]), r[0], r[1]))
     assert len(got) == n and len({r[0] for r in got}) == n and len({r[1] for r in got}) == n
+
+
+def test_scores_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """A filter on the score asks for no second worker; nulls count as empty texts."""
+    rows = [("x", 1, 2, "abcd", "abxd"), ("x", 3, 4, None, None), ("y", 1, 2, "a", None), ("y", 3, 2, "ab", "cd")]
+    pairs = spark.createDataFrame(rows, "grp string, left_id long, right_id long, a string, b string")
+    got = sequence.scored_pairs(pairs, "a", "b", "score")
+    assert got.columns == ["grp", "left_id", "right_id", "score"]
+    assert sorted(map(tuple, got.collect())) == [(*r[:3], ratio(r[3] or "", r[4] or "")) for r in rows]
+    workers = []
+    monkeypatch.setattr(sequence, "cut", lambda df: workers.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.limit(0))
+    spark.createDataFrame([(k, turn, who, "text") for k in range(2) for turn, who in ((0, "user"), (1, "assistant"))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    match_plans.greedy_page_pairing(spark, str(tmp_path))
+    assert workers[0].count("EvalPython") + workers[0].count("MapInArrow") == 1
