@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -172,6 +172,53 @@ def deal_blocks(sized: DataFrame, key: str, members: list[str], block: int) -> D
     return sized.withColumn("unit", F.xxhash64(F.col(key), F.col("own"), F.col("other"))).drop("_n", "_b", "_x")
 
 
+def deal_once(sized: DataFrame, key: str, members: list[str], block: int, shared: int = 8) -> DataFrame:
+    """A first look at groups: each row, with its group's size in ``_n``, goes to one block of its group.
+
+    About ``shared`` rows of a group, taken by hash, go to all its blocks, so that what
+    is near them is joined across blocks. Rows grow in proportion. Adds ``unit`` and the columns
+    of ``blocks_of_groups``; the pairs of different blocks are left to ``deal_apart``.
+    """
+    blocks = F.ceil(F.col("_n") / F.lit(block))
+    own = F.pmod(F.xxhash64(*members, F.lit(7)), blocks).cast("int")
+    everywhere = F.pmod(F.xxhash64(*members, F.lit(11)), F.col("_n")) < shared
+    dealt = sized.withColumn("blk", F.explode(F.when(everywhere, F.sequence(F.lit(0), (blocks - 1).cast("int"))).otherwise(F.array(own))))
+    return dealt.withColumn("own", F.col("blk")).withColumn("other", F.col("blk")).withColumn("unit", F.xxhash64(key, "blk")).drop("_n")
+
+
+def deal_apart(df: DataFrame, counts: DataFrame, key: str, label: str, members: list[str], block: int) -> DataFrame:
+    """Split groups into pairs of blocks so that rows of different labels still meet, and as few others as can be.
+
+    ``counts`` has ``(key, label, _n)``, numbers of rows that may be rough, of the groups that
+    are to be split: a written table. A label of more than ``block`` rows has blocks of its own, which meet all but
+    each other; a group of one large label and few other rows so takes rows in proportion to it.
+    Only pairs of large labels, or of very many small ones, take more: those all have to be compared.
+    Columns as in ``blocks_of_groups``; a unit with own != other compares across blocks only.
+    """
+    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
+    large = counts.filter(F.col("_n") > block).select(key, label, blocks.alias("_b"))
+    large = large.withColumn("_at", F.sum("_b").over(Window.partitionBy(key).orderBy(label)).cast("int") - F.col("_b"))
+    small = F.sum(F.when(F.col("_n") > block, 0).otherwise(F.col("_n")))
+    groups = counts.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(small / F.lit(block))).cast("int").alias("_r"), F.sum(F.when(F.col("_n") > block, blocks).otherwise(0)).cast("int").alias("_l"))
+    sized = df.join(F.broadcast(groups), key, "left").join(F.broadcast(large), [key, label], "left").fillna(1, ["_r"]).fillna(0, ["_l"])
+    start = F.when(F.col("_b").isNull(), 0).otherwise(F.col("_r") + F.col("_at"))
+    count = F.coalesce("_b", "_r")
+    last = F.col("_r") + F.col("_l") - 1
+    beyond = F.when(start + count <= last, F.sequence(start + count, last)).otherwise(F.array().cast("array<int>"))
+    others = F.concat(F.sequence(F.lit(0), start - 1), beyond)  # of a large label, which has small ones before it
+    sized = sized.withColumn("blk", (start + F.pmod(F.xxhash64(*members, F.lit(7)), count)).cast("int"))
+    sized = sized.withColumn("_x", F.explode(F.when(F.col("_b").isNull(), F.sequence(F.lit(0), last)).otherwise(others)))
+    sized = sized.withColumn("own", F.least("blk", "_x")).withColumn("other", F.greatest("blk", "_x"))
+    return sized.withColumn("unit", F.xxhash64(key, "own", "other")).drop("_r", "_l", "_b", "_at", "_x")
+
+
+def label_counts(ws: Workspace, df: DataFrame, key: str, label: str, block: int, name: str) -> DataFrame:
+    """``counts`` for ``deal_apart``: of groups with more than ``block`` rows."""
+    by_label = ws.write(df.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n")), f"{name}-all")
+    hot = by_label.groupBy(key).agg(F.sum("_n").alias("_t")).filter(F.col("_t") > block).select(key)
+    return ws.write(by_label.join(hot, key, "left_semi"), name)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str = "n") -> DataFrame:
     """Inner join where ``right`` has one row a key, and in ``size`` how many ``left`` rows it meets.
 
@@ -253,6 +300,13 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> D
     return labels
 
 
+def chained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Components of nodes, of which ``outer`` has those of ``inner``'s labels: ``(node, component_id)`` of the nodes in either."""
+    nodes = inner.unionByName(outer.select("node", F.col("node").alias("component_id"))).distinct()
+    moved = outer.select(F.col("node").alias("component_id"), F.col("component_id").alias("to"))
+    return nodes.join(moved, "component_id", "left").select("node", F.coalesce("to", "component_id").alias("component_id"))
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     for value in column:
