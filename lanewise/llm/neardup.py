@@ -23,8 +23,9 @@ candidates, and no sketch decides:
   above the worst mean) are compared set against set, nearest fingerprints first, unless
   verified links connect them already.
 
-Groups and clusters above their block size are split into pairs of blocks; only
-spanning edges leave a block. Shingles are known by their 64-bit hashes, sets
+Groups and clusters above their block size are first looked at block by block; what is
+linked there has one label, and pairs of blocks then only meet for different labels
+(in clusters, only where those share a rare shingle). Only spanning edges leave a block. Shingles are known by their 64-bit hashes, sets
 by 128-bit ones.
 
 Cases: as in ``simhash``: documents without words have the empty set and link with
