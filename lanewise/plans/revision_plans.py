@@ -29,22 +29,23 @@ _PER_PAGE = 12
 
 
 def _character(code: Column) -> Column:
-    """The character of a code point from U+0800 to U+FFFF, from its three bytes."""
-    byte = lambda c: F.lpad(F.hex(c), 2, "0")
-    return F.decode(F.unhex(F.concat(byte(224 + F.shiftright(code, 12)), byte(128 + F.shiftright(code, 6) % 64), byte(128 + code % 64))), "utf-8")
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
 
 
 def _edition(spark: SparkSession, d: str, new: bool) -> DataFrame:
-    rows = read(spark, d, "events", "event_id", "value", "props")
+    rows = read(spark, d, "events", "event_id", "props")
     page, at = F.floor(F.col("event_id") / _PER_PAGE), (F.col("event_id") % _PER_PAGE).cast("int")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
-    code = F.when(page % 40 == 7, 19968 + at).when(page % 40 == 8, 20000 + at % 5).otherwise(20100 + k)
+    rows = rows.select("event_id", k.alias("k"))  # read once, not in each branch
+    code = F.when(page % 40 == 7, 19968 + at).when(page % 40 == 8, 20000 + at % 5).otherwise(20100 + F.col("k"))
     empty = page % 31 == 4
     if new:
         rows = rows.filter(F.col("event_id") % 13 != 5)
         code = F.when((F.col("event_id") % 17 == 3) & (page % 40 != 7), code + 200).otherwise(code)
         empty = page % 29 == 11
-    rows = rows.select((page + (3 if new else 0)).alias("page"), at.alias("source_row_number"), F.when(empty, "").otherwise(_character(code)).alias("char"), F.col("value").cast("string").alias("reading"))
+    rows = rows.withColumn("code", code)
+    rows = rows.select((page + (3 if new else 0)).alias("page"), at.alias("source_row_number"), F.when(empty, "").otherwise(_character(code)).alias("char"))
     first = F.col("page") - (3 if new else 0)
     label = F.when(first % 5 == 0, (first % 400).cast("string"))
     return revision.pages(rows.withColumns({"pdf_order": F.floor(F.col("page") / 100).cast("int"), "label": label}))

@@ -120,3 +120,56 @@ def test_scores_are_worked_out_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(k, turn, who, "text") for k in range(2) for turn, who in ((0, "user"), (1, "assistant"))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     match_plans.greedy_page_pairing(spark, str(tmp_path))
     assert workers[0].count("EvalPython") + workers[0].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("rounds, left_over", [(0, 10_000), (2, 10_000), (99, 0)])
+def test_nearest_greedy(spark, monkeypatch, rounds, left_over):
+    """Texts of several pages, linked to several, with equal scores: by rounds, in one task and by both."""
+    monkeypatch.setattr(revision, "NEAREST_LEFT", left_over)
+    rng = random.Random(rounds)
+    old, new = ([(k, rng.choice([0, 0, 0, *range(9)])) for k in rng.sample(range(90), 60)] for _ in "ab")
+    links = [(a, b, rng.randint(3, 5) / 5) for a in range(9) for b in range(9) if rng.random() < 0.5]
+    got = revision.nearest_greedy(spark.createDataFrame(old, "old_number long, ia long"), spark.createDataFrame(new, "new_number long, ib long"), spark.createDataFrame(links, "ia long, ib long, score double"), rounds)
+    score = {(a, b): s for a, b, s in links}
+    rows = [(o, n, score[a, b]) for o, a in old for n, b in new if (a, b) in score]
+    assert sorted(map(tuple, got.collect())) == plain_greedy(rows, lambda r: (r[2], -abs(r[0] - r[1]), r[0], r[1]))
+
+
+def test_a_text_of_many_pages_is_not_copied_for_each_link(spark, monkeypatch):
+    """No window looks ahead to its end, which costs the square of a text's pages; 30 links of 600 pages carry 600 rows."""
+    plans = []
+    real = revision.cut
+    monkeypatch.setattr(revision, "cut", lambda df: plans.append(df) or real(df))
+    old = spark.range(600).select(F.col("id").alias("old_number"), F.lit(0).cast("long").alias("ia"))
+    new = spark.range(600).select(F.col("id").alias("new_number"), (F.col("id") % 30).alias("ib"))
+    links = spark.range(30).select(F.lit(0).cast("long").alias("ia"), F.col("id").alias("ib"), F.lit(0.9).alias("score"))
+    got = revision.nearest_greedy(old, new, links, 1)
+    assert sorted(map(tuple, got.collect())) == [(k, k, 0.9) for k in range(600)]
+    looks = [p._jdf.queryExecution().optimizedPlan().toString().lower() for p in plans]
+    assert any("windowspec" in p for p in looks) and not any("unboundedfollowing" in p for p in looks)
+    tops = links.withColumns({"c_ask": F.lit(20), "c_offer": F.lit(600)})
+    assert revision._asked(new, old, tops, "new_number", "ib", "old_number", "ia").count() == 1_200
+    tops = links.withColumns({"c_ask": F.lit(600), "c_offer": F.lit(20)})
+    assert revision._asked(old, new, tops, "old_number", "ia", "new_number", "ib").count() == 1_200
+
+
+def test_close_texts(spark):
+    """All close pairs of mixed lengths and few letters, and texts of the same characters in another order don't meet."""
+    rng = random.Random(3)
+    old = ["".join(rng.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(rng.choice([1, 2, 3, 5, 8, 11, 12, 17, 23, 24, 25, 33]))) for _ in range(120)]
+    new = ["".join(rng.choice("甲乙丙") if rng.random() < 0.12 else c for c in t if rng.random() > 0.08) for t in old]
+    side = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r.a, r.b): r.score for r in revision.close_texts(side(old), side(new)).collect()}
+    assert got == {(a, b): ratio(a, b) for a in old for b in new if a and b and ratio(a, b) >= 0.72}
+    letters = [chr(20_100 + k) for k in range(12)]
+    texts = ["".join(rng.sample(letters, 12)) for _ in range(100)]
+    sides = [revision._numbered(side(t)) for t in (texts[:50], texts[50:])]
+    assert revision._short_met(sides, [[12], [12]], 0.72).distinct().count() < 625  # of 2,500
+    assert len(set(revision._keys(list(range(12)), [11, 12], 0.72, True))) == 56
+
+
+def test_short_texts_are_scored_together():
+    rng = random.Random(4)
+    a = ["".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    b = ["".join(rng.choice("abx") if rng.random() < 0.3 else c for c in t if rng.random() > 0.1) for t in a]
+    assert revision._ratios(a, b).tolist() == [ratio(s, t) for s, t in zip(a, b, strict=True)]
